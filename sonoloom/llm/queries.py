@@ -3,11 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sonoloom.llm import lookalike
+from sonoloom.llm import containment, lookalike, pii
 from sonoloom.sources.tables import table
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    return pii.found_pieces(table(spark, root, "column_review", ["review_id", "source_text", "report_context"]))
+
+
+def p2_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """Both text fields with placeholders in place of personal data."""
+    rows = table(spark, root, "column_review", ["review_id", "source_text", "report_context"])
+    return pii.redact_columns(rows, ["source_text"], ["report_context"]).select("review_id", "source_text", "report_context")
+
+
+def _leaks(spark: SparkSession, root: str) -> DataFrame:
+    return containment.leaked_items(table(spark, root, "documents", ["doc_id", "text"]), table(spark, root, "eval_passages", ["item_id", "text"]))
+
+
+def p7_found(spark: SparkSession, root: str) -> DataFrame:
+    return _leaks(spark, root).select("doc_id", "item_id").distinct()
+
+
+def p7_leaks_per_item(spark: SparkSession, root: str) -> DataFrame:
+    """Documents per leaked item, with how much of it the fullest quotation holds."""
+    return _leaks(spark, root).groupBy("item_id").agg(F.countDistinct("doc_id").alias("n_docs"), F.max("containment").alias("most_contained"))
+
+
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, root, "documents", ["doc_id", "text"]))
 
@@ -20,5 +44,9 @@ def p8_classes(spark: SparkSession, root: str) -> DataFrame:
     return lookalike.lookalike_classes(table(spark, root, "documents", ["doc_id", "text"]))
 
 
-QUERIES = {"p8_found": p8_found, "p8_consistent_text": p8_consistent_text, "p8_classes": p8_classes}
+QUERIES = {
+    "p2_found": p2_found, "p2_redacted": p2_redacted,
+    "p7_found": p7_found, "p7_leaks_per_item": p7_leaks_per_item,
+    "p8_found": p8_found, "p8_consistent_text": p8_consistent_text, "p8_classes": p8_classes,
+}
 SQL: dict[str, str] = {}
