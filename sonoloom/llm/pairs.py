@@ -9,15 +9,17 @@ from sonoloom.functions.skew import hot_keys, salted_join
 from sonoloom.session import write_scratch
 
 
-def expand_members(classes: DataFrame, members: DataFrame, hot: list[str] | None = None) -> DataFrame:
-    """Class pairs (a, b) to member pairs (id_a, id_b). members: cls, id.
+def expand_members(classes: DataFrame, members: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """Class pairs (a, b) to member pairs (id_a, id_b). members (of a) and others (of b): cls, id.
 
     Members of hot classes are spread over salted joins, so that no task holds all
     members of one class. The number of rows is that of the pairs asked for.
     """
-    hot = hot_keys(members, "cls") if hot is None else hot
+    others = members if others is None else others
+    hot = hot_keys(members, "cls")
+    other_hot = hot if others is members else hot_keys(others, "cls")
     left = salted_join(members.select(F.col("cls").alias("a"), F.col("id").alias("id_a")), classes, "a", hot, F.col("id_a"))
-    return salted_join(members.select(F.col("cls").alias("b"), F.col("id").alias("id_b")), left, "b", hot, F.col("id_b")).select("id_a", "id_b")
+    return salted_join(others.select(F.col("cls").alias("b"), F.col("id").alias("id_b")), left, "b", other_hot, F.col("id_b")).select("id_a", "id_b")
 
 
 def pairs_across_classes(rows: DataFrame, group: str, cls: str, row_id: str, label: str) -> DataFrame:

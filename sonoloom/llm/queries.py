@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sonoloom.llm import containment, lookalike, pii
+from sonoloom.functions.ids import patient_key_sql, study_key_sql
+from sonoloom.llm import containment, grouped_split, lookalike, mapping, overlap, pii
 from sonoloom.sources.tables import table
 
 
@@ -19,6 +20,49 @@ def p2_redacted(spark: SparkSession, root: str) -> DataFrame:
     return pii.redact_columns(rows, ["source_text"], ["report_context"]).select("review_id", "source_text", "report_context")
 
 
+_EVAL = ["eval_id", "split", "source", "study_ids", "patient_ids"]
+_STILLS = ["still_row", "still_id", "split", "source", "pixel_hash"]
+
+
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return overlap.cross_split_pairs(table(spark, root, "eval_sets", _EVAL), table(spark, root, "radar_stills", _STILLS))
+
+
+def p3_overlap_report(spark: SparkSession, root: str) -> DataFrame:
+    return overlap.overlap_report(table(spark, root, "eval_sets", _EVAL), table(spark, root, "radar_stills", _STILLS))
+
+
+_LINKS = ["row_id", "patient_id", "study_id"]
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return grouped_split.tied_patients(grouped_split.normalised_rows(table(spark, root, "build_manifests", _LINKS)))
+
+
+def p4_assignment(spark: SparkSession, root: str) -> DataFrame:
+    """Split of every manifest row."""
+    return grouped_split.split_rows(table(spark, root, "build_manifests", _LINKS))[0].select("row_id", "component", "split")
+
+
+def p4_shares(spark: SparkSession, root: str) -> DataFrame:
+    """Rows and components of each split, with the share of the rows."""
+    rows = grouped_split.split_rows(table(spark, root, "build_manifests", _LINKS))[0]
+    by_split = rows.groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("component").alias("n_components"))
+    return by_split.withColumn("share", F.round(F.col("n_rows") / F.sum("n_rows").over(Window.partitionBy()), 6))
+
+
+def _mapped(spark: SparkSession, root: str) -> DataFrame:
+    return mapping.mapped_labels(table(spark, root, "label_mappings", ["mapping_id", "label", "concepts"]), table(spark, root, "ontology"))
+
+
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    return _mapped(spark, root).select("mapping_id", "field", "item_no", "concept_id")
+
+
+def p5_unmatched(spark: SparkSession, root: str) -> DataFrame:
+    return mapping.unmatched_report(_mapped(spark, root))
+
+
 def _leaks(spark: SparkSession, root: str) -> DataFrame:
     return containment.leaked_items(table(spark, root, "documents", ["doc_id", "text"]), table(spark, root, "eval_passages", ["item_id", "text"]))
 
@@ -46,7 +90,41 @@ def p8_classes(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_redacted": p2_redacted,
+    "p3_found": p3_found, "p3_overlap_report": p3_overlap_report, 
+    "p4_found": p4_found, "p4_assignment": p4_assignment, "p4_shares": p4_shares,
+    "p5_found": p5_found, "p5_unmatched": p5_unmatched,
     "p7_found": p7_found, "p7_leaks_per_item": p7_leaks_per_item,
     "p8_found": p8_found, "p8_consistent_text": p8_consistent_text, "p8_classes": p8_classes,
 }
-SQL: dict[str, str] = {}
+
+_PAIRS_SQL = f"""
+with sets as (
+  select eval_id, lower(trim(split)) as split, {study_key_sql('s')} as study, {patient_key_sql('p')} as patient
+  from (select eval_id, split, unnest(study_ids) as s, unnest(patient_ids) as p from eval_sets)
+), stills as (
+  select still_row, lower(trim(split)) as split, {study_key_sql('still_id')} as still_id,
+    case when regexp_full_match(lower(trim(pixel_hash)), '[0-9a-f]{{32}}') then lower(trim(pixel_hash)) end as p
+  from radar_stills
+), halves as (
+  select *, ('0x' || substr(p, 1, 16))::ubigint as hi, ('0x' || substr(p, 17, 16))::ubigint as lo from stills
+), pairs as (
+  select 'study' as overlap_kind, a.eval_id as x, b.eval_id as y from sets a join sets b on a.study = b.study where a.split = 'train' and b.split in ('val', 'test')
+  union select 'patient', a.eval_id, b.eval_id from sets a join sets b on a.patient = b.patient where a.split = 'train' and b.split in ('val', 'test')
+  union select 'still', a.still_row, b.still_row from stills a join stills b on a.still_id = b.still_id where a.split = 'train' and b.split in ('val', 'test')
+  union select 'still', a.still_row, b.still_row from halves a join halves b on bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 12 where a.split = 'train' and b.split in ('val', 'test')
+)
+select distinct overlap_kind, least(x, y) as key_a, greatest(x, y) as key_b from pairs where x <> y
+"""
+_TIES_SQL = f"""
+with recursive rows as (
+  select {patient_key_sql('patient_id')} as patient, {study_key_sql('study_id')} as study from build_manifests
+), pairs as (
+  select distinct patient, study from rows where patient is not null and study is not null
+), ties as (
+  select distinct a.patient as a, b.patient as b from pairs a join pairs b on a.study = b.study where a.patient <> b.patient
+), reach as (
+  select a, b from ties union select r.a, t.b from reach r join ties t on r.b = t.a
+)
+select a as patient_a, b as patient_b from reach where a < b
+"""
+SQL: dict[str, str] = {"p3_found": _PAIRS_SQL, "p4_found": _TIES_SQL}
