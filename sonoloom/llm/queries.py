@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sonoloom.functions.ids import patient_key_sql, study_key_sql
-from sonoloom.llm import containment, grouped_split, lookalike, mapping, overlap, pii
+from sonoloom.llm import containment, grouped_split, lookalike, mapping, overlap, packing, pii
 from sonoloom.sources.tables import table
 
 
@@ -63,6 +63,14 @@ def p5_unmatched(spark: SparkSession, root: str) -> DataFrame:
     return mapping.unmatched_report(_mapped(spark, root))
 
 
+def p6_pack(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack_documents(table(spark, root, "documents", ["doc_id", "text"]))
+
+
+def p6_utilisation(spark: SparkSession, root: str) -> DataFrame:
+    return packing.utilisation(p6_pack(spark, root))
+
+
 def _leaks(spark: SparkSession, root: str) -> DataFrame:
     return containment.leaked_items(table(spark, root, "documents", ["doc_id", "text"]), table(spark, root, "eval_passages", ["item_id", "text"]))
 
@@ -93,6 +101,7 @@ QUERIES = {
     "p3_found": p3_found, "p3_overlap_report": p3_overlap_report, 
     "p4_found": p4_found, "p4_assignment": p4_assignment, "p4_shares": p4_shares,
     "p5_found": p5_found, "p5_unmatched": p5_unmatched,
+    "p6_pack": p6_pack, "p6_utilisation": p6_utilisation,
     "p7_found": p7_found, "p7_leaks_per_item": p7_leaks_per_item,
     "p8_found": p8_found, "p8_consistent_text": p8_consistent_text, "p8_classes": p8_classes,
 }
