@@ -26,7 +26,7 @@ _IGNORABLE = [0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x
 # Characters of category Cf that are drawn.
 _DRAWN = [*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD]
 # Compatibility letters whose shape differs from their plain form.
-_OTHER_SHAPE = [0x017F, 0x1E9B, *range(0x03D0, 0x03D7), *range(0x03F0, 0x03F3), 0x03F4, 0x03F5]
+_OTHER_SHAPE = [0x017F, 0x1E9B, *range(0x03D0, 0x03D7), *range(0x03F0, 0x03F3), 0x03F4, 0x03F5, 0x03F9]
 
 
 @lru_cache(maxsize=1)

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonoloom.llm.frames import frame
 from sonoloom.llm.chars import words
 
 RUN = 13
@@ -93,7 +94,7 @@ def _window_rows(run: int):
             for item, text in zip(pdf["id"], pdf["text"]):
                 w = words(text) if text else []
                 out += [(item, k, " ".join(w[k : k + run]), len(w) - run + 1) for k in range(len(w) - run + 1)]
-            yield pd.DataFrame(out, columns=["item", "place", "window", "n"])
+            yield frame(out, ["item", "place", "window", "n"])
 
     return rows
 
@@ -110,7 +111,7 @@ def _search_rows(held):
                 doc = docs[int(np.searchsorted(owner, start, side="right"))]
                 for item, place in found:
                     hits.setdefault((doc, item), set()).add(place)
-            return pd.DataFrame([(d, i, len(s)) for (d, i), s in hits.items()], columns=["doc_id", "item_id", "n_shared"])
+            return frame([(d, i, len(s)) for (d, i), s in hits.items()], ["doc_id", "item_id", "n_shared"])
 
         for pdf in batches:
             ids, ends, docs = [], [], []

@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonoloom.llm.frames import frame
 from sonoloom.llm.chars import LOOKALIKES, PROTOTYPE, prepare
 from sonoloom.llm.pairs import pairs_across_classes
 
@@ -42,7 +43,7 @@ def script_of(ch: str) -> str | None:
     return first if first in SCRIPTS else "OTHER" if ch.isalpha() else None
 
 
-_MEMBERS = {latin: [(m, script_of(m)) for m in latin + others] for latin, others in LOOKALIKES.items()}
+_MEMBERS = {latin: [(m, script_of(m)) for m in latin + others] for latin, others in LOOKALIKES.items() if latin.isalpha()}
 
 
 def _pairs_of(tokens: Counter) -> Counter:
@@ -64,7 +65,7 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if text:
                 tokens.update(_TOKEN.findall(prepare(text)))
         total.update(_pairs_of(tokens))
-    yield pd.DataFrame({"pair": list(total), "n": list(total.values())})
+    yield frame(list(total.items()), ["pair", "n"])
 
 
 def script_model(docs: DataFrame, text: str = "text") -> dict[str, int]:
@@ -115,7 +116,7 @@ class Reader:
         """The consistent form of a whole text."""
         t = prepare(text)
         if not t.isascii():
-            t = "".join(PROTOTYPE.get(c, c) if not c.isalpha() else c for c in t)
+            t = t.translate(_SIGNS)
         # The reading depends on the classes only, so tokens are looked up by their Latin shape.
         parts, known = _TOKEN.split(t), self.cache
         for k in range(1, len(parts), 2):
@@ -126,6 +127,7 @@ class Reader:
 
 
 _SHAPE = str.maketrans(PROTOTYPE)
+_SIGNS = str.maketrans({other: plain for other, plain in PROTOTYPE.items() if not plain.isalpha()})
 
 
 def consistent_text(docs: DataFrame, model: dict[str, int] | None = None, text: str = "text", out: str = "form") -> DataFrame:
@@ -139,7 +141,7 @@ def consistent_text(docs: DataFrame, model: dict[str, int] | None = None, text:
     def form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         reader = Reader(held.value)
         for s in batches:
-            yield s.map(lambda t: None if t is None else reader.text(t))
+            yield pd.Series([None if t is None else reader.text(t) for t in s], dtype=object)
 
     return docs.withColumn(out, F.pandas_udf(form, "string")(F.col(text).cast("string")))
 
@@ -156,7 +158,7 @@ def form_digests(docs: DataFrame, model: dict[str, int] | None = None, doc_id: s
         reader = Reader(held.value)
         for pdf in batches:
             rows = [(i, _digest(f), _digest(t)) for i, t in zip(pdf["id"], pdf["text"]) if t and (f := reader.text(t)) and not f.isspace()]
-            yield pd.DataFrame(rows, columns=["id", "form", "raw"])
+            yield frame(rows, ["id", "form", "raw"])
 
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     return rows.mapInPandas(digests, "id long, form string, raw string")

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonoloom.llm.frames import frame
+
 UNMATCHED = "unmatched"
 MAX_ENTRIES = 200_000
 CACHE_VALUES = 200_000
@@ -226,7 +228,7 @@ def map_values(values: DataFrame, names: list[tuple[str, str]], value: str = "va
         for s in batches:
             got = {v: mapper.best(v) for v in s.dropna().unique()}
             rows = [got[v] if v is not None else (None, None) for v in s]
-            yield pd.DataFrame(rows, columns=["concept_id", "distance"]).astype({"concept_id": object, "distance": "Int32"})
+            yield frame(rows, ["concept_id", "distance"])
 
     got = F.pandas_udf(run, "concept_id string, distance int")(F.col(value).cast("string"))
     return values.withColumn("_m", got).withColumn("concept_id", F.col("_m.concept_id")).withColumn("distance", F.col("_m.distance")).drop("_m")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from sonoloom.functions.ids import patient_key, study_key
 from sonoloom.functions.skew import hot_keys, salted_join
+from sonoloom.llm.frames import frame
 from sonoloom.llm.pairs import expand_members
 
 MIN_CHUNK, CUT_BITS, MAX_CHUNK = 64, 6, 1024
@@ -65,7 +66,7 @@ def _chunk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 whole = xxhash.xxh3_128_hexdigest(f"{kind}\n{f}".encode())
                 for k, c in enumerate(chunks(f)):
                     rows.append((i, eval_side, kind, xxhash.xxh3_128_hexdigest(f"{kind}\n{c}".encode()), len(c), whole, k))
-        yield pd.DataFrame(rows, columns=["id", "eval_side", "kind", "digest", "length", "field", "place"])
+        yield frame(rows, ["id", "eval_side", "kind", "digest", "length", "field", "place"])
 
 
 def record_chunks(records: DataFrame) -> DataFrame:

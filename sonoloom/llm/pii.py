@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonoloom.llm.frames import frame
+
 THRESHOLD = 0.5
 PLACEHOLDER = "[{}]"
 CONTEXT = 48
@@ -327,7 +329,7 @@ def _scanner(scan):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             rows = [(None, []) if t is None else scan(t) for t in s]
-            yield pd.DataFrame({"redacted": [r[0] for r in rows], "pieces": [[{"pii_type": k, "pii_text": x} for k, x in r[1]] for r in rows]})
+            yield frame([(r[0], [{"pii_type": k, "pii_text": x} for k, x in r[1]]) for r in rows], ["redacted", "pieces"])
 
     return F.pandas_udf(run, _RESULT)
 
