@@ -26,7 +26,7 @@ def regression(y: Column, p: Column) -> list[Column]:
     sst = F.var_pop(known) * F.count(e)
     return [
         F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"),
-        F.when(sst > 0, 1 - F.sum(e * e) / sst).alias("r2"), F.corr(known, F.when(ok, p)).alias("pearson"),
+        (1 - F.try_divide(F.sum(e * e), sst)).alias("r2"), F.corr(known, F.when(ok, p)).alias("pearson"),
     ]
 
 
@@ -40,7 +40,7 @@ def agreement(a: Column, b: Column) -> list[Column]:
     d = b - a
     return [
         F.count(d).alias("n"), F.corr(a, b).alias("r"), F.avg(d).alias("bias"), (F.avg(d) - 1.96 * F.stddev_pop(d)).alias("loa_low"),
-        (F.avg(d) + 1.96 * F.stddev_pop(d)).alias("loa_high"), F.avg(F.abs(d)).alias("mae"), (100 * F.avg(F.abs(d / a))).alias("mape"),
+        (F.avg(d) + 1.96 * F.stddev_pop(d)).alias("loa_high"), F.avg(F.abs(d)).alias("mae"), (100 * F.avg(F.abs(F.try_divide(d, a)))).alias("mape"),
     ]
 
 
@@ -54,7 +54,7 @@ def auroc(df: DataFrame, positive: str, score: str) -> DataFrame:
     cum = running_sums(_distinct_scores(df, positive, score), "s", [], {"upto": "n"})
     mean_rank = F.col("upto") - (F.col("n") - 1) / 2
     out = cum.agg(F.sum("pos").alias("n_pos"), (F.sum("n") - F.sum("pos")).alias("n_neg"), F.sum(F.col("pos") * mean_rank).alias("ranks"))
-    return out.select("n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), (F.col("ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / F.col("n_pos") / F.col("n_neg")).alias("auroc"))
+    return out.select("n_pos", "n_neg", F.try_divide(F.col("ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * F.col("n_neg")).alias("auroc"))
 
 
 def grouped_auroc(df: DataFrame, groups: list[str], positive: str, score: str) -> DataFrame:
@@ -64,8 +64,8 @@ def grouped_auroc(df: DataFrame, groups: list[str], positive: str, score: str) -
     w = Window.partitionBy(*groups).orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     r = s.withColumn("mean_rank", F.sum("n").over(w) - (F.col("n") - 1) / 2)
     g = r.groupBy(*groups).agg(F.sum("pos").alias("n_pos"), (F.sum("n") - F.sum("pos")).alias("n_neg"), F.sum(F.col("pos") * F.col("mean_rank")).alias("ranks"))
-    area = (F.col("ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / F.col("n_pos") / F.col("n_neg")
-    return g.select(*groups, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), area).alias("auroc"))
+    area = F.try_divide(F.col("ranks") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos") * F.col("n_neg"))
+    return g.select(*groups, "n_pos", "n_neg", area.alias("auroc"))
 
 
 def average_precision(df: DataFrame, positive: str, score: str) -> DataFrame:
@@ -73,7 +73,7 @@ def average_precision(df: DataFrame, positive: str, score: str) -> DataFrame:
     s = _distinct_scores(df, positive, score).withColumn("down", -F.col("s"))
     cum = running_sums(s, "down", [], {"n_upto": "n", "pos_upto": "pos"})
     out = cum.agg(F.sum("pos").alias("n_pos"), F.sum(F.col("pos") * F.col("pos_upto") / F.col("n_upto")).alias("a"))
-    return out.select("n_pos", F.when(F.col("n_pos") > 0, F.col("a") / F.col("n_pos")).alias("average_precision"))
+    return out.select("n_pos", F.try_divide(F.col("a"), F.col("n_pos")).alias("average_precision"))
 
 
 def youden(df: DataFrame, positive: str, score: str, near: float) -> DataFrame:
@@ -94,7 +94,7 @@ def confusion(predicted: Column, truth: Column, weight: Column | None = None) ->
     w = F.lit(1.0) if weight is None else weight
     s = lambda cond: F.sum(F.when(cond, w).otherwise(0.0))
     tp, fp, fn, tn = s(predicted & truth), s(predicted & ~truth), s(~predicted & truth), s(~predicted & ~truth)
-    ratio = lambda a, b: F.when(a + b > 0, a / (a + b))
+    ratio = lambda a, b: F.try_divide(a, a + b)
     return [tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), tn.alias("tn"), ratio(tp, fn).alias("sensitivity"), ratio(tn, fp).alias("specificity"), ratio(tp, fp).alias("precision")]
 
 
@@ -185,5 +185,5 @@ def macro_by_class(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     a = df.groupBy(F.col(truth).alias("cls")).agg(F.count(F.lit(1)).alias("support"), F.count_if(F.col(truth) == F.col(predicted)).alias("hits"))
     b = df.groupBy(F.col(predicted).alias("cls")).agg(F.count(F.lit(1)).alias("n_predicted"))
     j = a.join(b, "cls", "full_outer").na.fill(0, ["support", "hits", "n_predicted"])
-    ratio = lambda x, y: F.when(y > 0, x / y)
+    ratio = lambda x, y: F.try_divide(x, y)
     return j.select("cls", "support", "n_predicted", ratio(F.col("hits"), F.col("support")).alias("recall"), ratio(F.col("hits"), F.col("n_predicted")).alias("precision"), (2 * F.col("hits") / (F.col("support") + F.col("n_predicted"))).alias("f1"))

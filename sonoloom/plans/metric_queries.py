@@ -169,7 +169,7 @@ _VARIANTS = ((1, 0.0), (2, 0.0), (3, 0.0), (1, 0.2), (2, 0.2))
 @R.add(f"""with {P}, v as (select * from (values {', '.join(f"({k}, {g})" for k, g in _VARIANTS)}) v(least_n, gate)),
 g as (select study, v.least_n, v.gate, max(y) as y, median(p) as p, count(*) as n from p, v where {hash_unit_sql('gate', 'row_id')} >= v.gate group by all having count(*) >= v.least_n),
 a as (select least_n, gate, {hash_int_sql('half', 'study')} % 2 as half, avg(abs(p - y)) as mae, count(*) as n from g group by all)
-select least_n, gate, round(max(mae) filter (half = 0), 6) as dev_mae, round(max(mae) filter (half = 1), 6) as test_mae, sum(n)::bigint as n from a group by 1, 2""")
+select least_n, gate::double as gate, round(max(mae) filter (half = 0), 6) as dev_mae, round(max(mae) filter (half = 1), 6) as test_mae, sum(n)::bigint as n from a group by 1, 2""")
 def variant_sweep(t):
     from sonoloom.functions.hashing import hash_int
 

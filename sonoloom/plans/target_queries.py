@@ -12,7 +12,7 @@ from sonoloom.plans.registry import Registry
 R = Registry()
 
 
-@R.add(f"""with {S} select study, ef, case when ef is not null then (ef < 40)::int::double end as low, case when ef is null then null when ef < 30 then 0.0 when ef < 40 then 1.0 when ef < 50 then 2.0 else 3.0 end as band,
+@R.add(f"""with {S} select study, ef, case when ef is not null then (ef < 40)::int::double end as low, (case when ef is null then null when ef < 30 then 0 when ef < 40 then 1 when ef < 50 then 2 else 3 end)::double as band,
   case when ef is null and exam is null then null else greatest(coalesce((ef < 40)::int, -1), coalesce((exam = 'ECHO STRESS')::int, -1))::double end as either from s where study is not null""")
 def targets_derive(t):
     s = study_rows(t).where("study is not null")
