@@ -18,6 +18,11 @@ from sonoloom.functions.hashing import hash_int
 from sonoloom.functions.ranks import running_sums
 
 
+def _pearson(a: Column, b: Column) -> Column:
+    """Correlation; null where a side has no spread."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def regression(y: Column, p: Column) -> list[Column]:
     """n, mae, rmse, bias, r2 (1 - SSE / SST), pearson."""
     ok = y.isNotNull() & p.isNotNull()
@@ -26,7 +31,7 @@ def regression(y: Column, p: Column) -> list[Column]:
     sst = F.var_pop(known) * F.count(e)
     return [
         F.count(e).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(e).alias("bias"),
-        (1 - F.try_divide(F.sum(e * e), sst)).alias("r2"), F.corr(known, F.when(ok, p)).alias("pearson"),
+        (1 - F.try_divide(F.sum(e * e), sst)).alias("r2"), _pearson(known, F.when(ok, p)).alias("pearson"),
     ]
 
 
@@ -39,7 +44,7 @@ def agreement(a: Column, b: Column) -> list[Column]:
     """Two-method agreement: correlation, bias, 95 % limits (population deviation), MAE, MAPE."""
     d = b - a
     return [
-        F.count(d).alias("n"), F.corr(a, b).alias("r"), F.avg(d).alias("bias"), (F.avg(d) - 1.96 * F.stddev_pop(d)).alias("loa_low"),
+        F.count(d).alias("n"), _pearson(F.when(d.isNotNull(), a), F.when(d.isNotNull(), b)).alias("r"), F.avg(d).alias("bias"), (F.avg(d) - 1.96 * F.stddev_pop(d)).alias("loa_low"),
         (F.avg(d) + 1.96 * F.stddev_pop(d)).alias("loa_high"), F.avg(F.abs(d)).alias("mae"), (100 * F.avg(F.abs(F.try_divide(d, a)))).alias("mape"),
     ]
 

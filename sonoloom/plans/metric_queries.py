@@ -13,7 +13,7 @@ from sonoloom.plans.registry import Registry
 R = Registry()
 
 _REG_SQL = """count(*) as n, round(avg(abs(p - y)), 6) as mae, round(sqrt(avg((p - y) * (p - y))), 6) as rmse, round(avg(p - y), 6) as bias,
-  round(1 - sum((p - y) * (p - y)) / nullif(var_pop(y) * count(*), 0), 6) as r2, round(corr(y, p), 6) as pearson"""
+  round(1 - sum((p - y) * (p - y)) / nullif(var_pop(y) * count(*), 0), 6) as r2, round(covar_pop(y, p) / nullif(stddev_pop(y) * stddev_pop(p), 0), 6) as pearson"""
 
 
 def _rounded(columns, digits=6):
@@ -112,7 +112,7 @@ def metric_macro(t):
     return g.select("cls", "support", "n_predicted", *[F.round(c, 6).alias(c) for c in ("recall", "precision", "f1")])
 
 
-@R.add(f"""with {P} select view, count(*) as n, round(corr(y, p), 6) as r, round(avg(p - y), 6) as bias, round(avg(p - y) - 1.96 * stddev_pop(p - y), 6) as loa_low, round(avg(p - y) + 1.96 * stddev_pop(p - y), 6) as loa_high,
+@R.add(f"""with {P} select view, count(*) as n, round(covar_pop(y, p) / nullif(stddev_pop(y) * stddev_pop(p), 0), 6) as r, round(avg(p - y), 6) as bias, round(avg(p - y) - 1.96 * stddev_pop(p - y), 6) as loa_low, round(avg(p - y) + 1.96 * stddev_pop(p - y), 6) as loa_high,
   round(avg(abs(p - y)), 6) as mae, round(100 * avg(abs((p - y) / y)), 6) as mape from p group by 1""")
 def metric_agreement(t):
     g = predictions(t).groupBy("view").agg(*metrics.agreement(F.col("y"), F.col("p")))
