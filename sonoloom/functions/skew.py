@@ -42,11 +42,13 @@ def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list[str], by:
     return a.join(b, [key, "_salt"], how).drop("_salt")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     """Rows over twice as many partitions as there are cores if the scan gave fewer than that many tasks a core.
 
-    Only a table of a few files is moved; a large one has splits enough and stays where it is.
+    By ``key`` if it tells rows apart, else in turn. Only a table of a few files is moved; a large one has splits enough and stays where it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df if tasks >= cores else df.repartition(2 * cores, key)
+    if tasks >= cores:
+        return df
+    return df.repartition(2 * cores, key) if key else df.repartition(2 * cores)
