@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonoloom.llm.frames import frame
+from sonoloom.functions.skew import spread
 from sonoloom.llm.chars import words
 
 RUN = 13
@@ -146,7 +147,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN, shingle: int
     ).dropDuplicates(["item", "place", "window"])
     sizes = windows.groupBy("item").agg(F.max("n").alias("n_windows"))
     blocks = max(1, -(-windows.count() // MAX_WINDOWS))
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")), "id")
     found = None
     for k in range(blocks):
         part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)

@@ -25,8 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonoloom.llm.frames import frame
+from sonoloom.functions.skew import spread
 from sonoloom.llm.chars import LOOKALIKES, PROTOTYPE, prepare
+from sonoloom.llm.frames import frame
 from sonoloom.llm.pairs import pairs_across_classes
 
 SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "CHEROKEE")
@@ -70,7 +71,7 @@ def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def script_model(docs: DataFrame, text: str = "text") -> dict[str, int]:
     """Bigram counts over all documents: letter pair -> count. At most one entry per pair of letters."""
-    counts = docs.select(F.col(text).cast("string").alias("text")).mapInPandas(_count_batches, "pair string, n long")
+    counts = spread(docs.select(F.col(text).cast("string").alias("text"))).mapInPandas(_count_batches, "pair string, n long")
     return {r.pair: r.n for r in counts.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -160,7 +161,7 @@ def form_digests(docs: DataFrame, model: dict[str, int] | None = None, doc_id: s
             rows = [(i, _digest(f), _digest(t)) for i, t in zip(pdf["id"], pdf["text"]) if t and (f := reader.text(t)) and not f.isspace()]
             yield frame(rows, ["id", "form", "raw"])
 
-    rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")), "id")
     return rows.mapInPandas(digests, "id long, form string, raw string")
 
 

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonoloom.functions.skew import spread
 from sonoloom.session import write_scratch
 
 CAPACITY = 2048
@@ -102,7 +103,7 @@ def _sizes(path: str):
 
 def document_sizes(docs: DataFrame, tokenizer: str = TOKENIZER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, curve (Hilbert key) of every document; null and empty texts have 0 tokens."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")), "id")
     return rows.mapInPandas(_sizes(tokenizer), "doc_id long, n_tokens long, curve long")
 
 

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sonoloom.functions.skew import spread
 from sonoloom.llm.frames import frame
 
 THRESHOLD = 0.5
@@ -349,7 +350,7 @@ def redact_columns(df: DataFrame, text_columns: list[str], json_columns: list[st
 
 def found_pieces(reviews: DataFrame, row_id: str = "review_id") -> DataFrame:
     """Distinct (review_id, field, pii_type, pii_text) of the two text fields."""
-    scanned = redact_columns(reviews.select(row_id, "source_text", "report_context"), ["source_text"], ["report_context"])
+    scanned = redact_columns(spread(reviews.select(row_id, "source_text", "report_context"), row_id), ["source_text"], ["report_context"])
     rows = scanned.select(F.col(row_id).alias("review_id"), F.explode(F.array(
         F.struct(F.lit("source_text").alias("field"), F.col("source_text_pii").alias("pieces")),
         F.struct(F.lit("report_context").alias("field"), F.col("report_context_pii").alias("pieces")),
