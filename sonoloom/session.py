@@ -48,10 +48,14 @@ def write_scratch(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that no later stage reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def drop_scratch(*tables: DataFrame | None) -> None:
+    """Delete tables of :func:`write_scratch` that no plan reads any more."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "_scratch_path", None)):
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
