@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sonoloom.functions.ids import patient_key, study_key
 from sonoloom.functions.skew import hot_keys, salted_join
-from sonoloom.session import write_scratch
+from sonoloom.session import drop_scratch, write_scratch
 
 SHARES = {"train": 0.7, "val": 0.1, "test": 0.2}
 QUARANTINE = "quarantine"
@@ -42,21 +42,29 @@ def components(edges: DataFrame) -> DataFrame:
         both = open_edges.unionByName(open_edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooked = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
         parents = write_scratch(hooked.select("node", F.least("node", "least").alias("root")), "parents")
-        while True:
-            jumped = _lookup(parents, "root", parents.select(F.col("node").alias("n"), F.col("root").alias("r")), "n", "r", "next")
-            jumped = write_scratch(jumped.select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "jump")
+        moved = True
+        while moved:
+            up = _lookup(parents, "root", parents.select(F.col("node").alias("n"), F.col("root").alias("r")), "n", "r", "next")
+            jumped = write_scratch(up.select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "jump")
             moved = not jumped.where("moved").isEmpty()
+            drop_scratch(parents)
             parents = jumped.select("node", "root")
-            if not moved:
-                break
+            parents._scratch_path = jumped._scratch_path
+        roots = parents.select(F.col("node").alias("n"), F.col("root").alias("r"))
+        if labels is not None:
+            raised = write_scratch(_lookup(labels, "root", roots, "n", "r", "up").select("node", F.col("up").alias("root")), "labels")
+            drop_scratch(labels)
+            labels = raised
+        left = _lookup(open_edges, "a", roots, "n", "r", "ra").select("ra", "b")
+        right = _lookup(left, "b", roots, "n", "r", "rb").where("ra <> rb")
+        contracted = write_scratch(right.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        drop_scratch(open_edges)
+        open_edges = contracted
         if labels is None:
             labels = parents
         else:
-            labels = write_scratch(_lookup(labels, "root", parents.select(F.col("node").alias("n"), F.col("root").alias("r")), "n", "r", "up").select("node", F.col("up").alias("root")), "labels")
-        up = parents.select(F.col("node").alias("n"), F.col("root").alias("r"))
-        left = _lookup(open_edges, "a", up, "n", "r", "ra").select("ra", "b")
-        right = _lookup(left, "b", up, "n", "r", "rb").where("ra <> rb")
-        open_edges = write_scratch(right.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+            drop_scratch(parents)
+    drop_scratch(open_edges)
     return labels if labels is not None else spark.createDataFrame([], "node string, root string")
 
 
@@ -200,3 +208,20 @@ def split_rows(manifests: DataFrame, known: DataFrame | None = None, shares: dic
         now = decided.where(F.col("component").startswith("p:")).select(F.substring("component", 3, 1 << 20).alias("component"), "split")
         table = table.unionByName(absent.join(now, "component", "left").select("patient", "component", F.coalesce("split", "old").alias("split")))
     return out, table
+
+
+def update_split_table(manifests: DataFrame, path: str, shares: dict[str, float] | None = None) -> DataFrame:
+    """Assignment of a batch with the component table kept under ``path``, one folder per version.
+
+    The last version is read, the batch is merged into it and the next version is written
+    before the assignment is returned; a run that dies leaves the last version as it was.
+    """
+    spark = manifests.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [s.getPath().getParent().getName() for s in (fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")) or [])]
+    last = max((int(d.split("=")[1]) for d in done), default=0)
+    known = spark.read.parquet(f"{path}/v={last}").select("patient", "component", "split") if last else None
+    out, table = split_rows(manifests, known, shares)
+    table.write.mode("overwrite").parquet(f"{path}/v={last + 1}")
+    return out

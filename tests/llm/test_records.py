@@ -1,7 +1,9 @@
 import itertools
+import os
 import random
 
 import numpy as np
+import pytest
 
 from sonoloom.llm import grouped_split, mapping, overlap, packing, pairs
 
@@ -173,12 +175,23 @@ def test_later_batch_keeps_splits_and_quarantines(spark):
     assert all(now[p][1] == s for p, s in old.items() if p not in (train[2], test[0])) and len(now) == 42
 
 
+def test_table_versions(spark, tmp_path):
+    one = spark.createDataFrame([(i, str(i + 1), None, "zz") for i in range(20)], MANIFEST)
+    two = spark.createDataFrame([(50, "1", "s1", "zz"), (51, "99", "s1", "zz")], MANIFEST)
+    path = str(tmp_path / "components")
+    first = {r.row_id: r.split for r in grouped_split.update_split_table(one, path).collect()}
+    second = {r.row_id: r.split for r in grouped_split.update_split_table(two, path).collect()}
+    assert second == {50: first[0], 51: first[0]}
+    assert spark.read.parquet(f"{path}/v=2").count() == 21 and spark.read.parquet(f"{path}/v=1").count() == 20
+
+
 def test_pairs_across_classes(spark):
     rows = [("g", "a", 1), ("g", "a", 2), ("g", "b", 3), ("g", "b", 3), ("h", "c", 4), ("h", "c", 5)]
     df = spark.createDataFrame(rows, "grp string, cls string, id long")
     assert {tuple(r) for r in pairs.pairs_across_classes(df, "grp", "cls", "id", "t").collect()} == {(1, 3), (2, 3)}
 
 
+@pytest.mark.skipif(not os.path.exists(packing.TOKENIZER), reason="needs the public tokenizer files")
 def test_packing(spark):
     rng = random.Random(10)
     texts = [" ".join(rng.choice(["valve", "atrium", "jet", "wall"]) for _ in range(rng.choice([3, 20, 60, 900]))) for _ in range(150)]
