@@ -200,12 +200,13 @@ def cross_split_pairs(eval_sets: DataFrame, stills: DataFrame) -> DataFrame:
 def overlap_report(eval_sets: DataFrame, stills: DataFrame) -> DataFrame:
     """Evaluation records that overlap with train, per kind, split and source.
 
-    kind ``study`` and ``patient`` count shards by content-defined chunks, ``still`` counts stills by id or fingerprint.
+    kind ``study`` and ``patient`` count shards that name anyone, by content-defined chunks;
+    ``still`` counts stills by id or fingerprint.
     """
     sets = overlap_fractions(record_chunks(eval_set_records(eval_sets)))
     a = sets.join(eval_sets.select(F.col("eval_id").alias("id"), F.lower(F.trim("split")).alias("split"), "source"), "id")
-    a = a.groupBy("kind", "split", "source").agg(F.count("*").alias("n_records"), F.count_if(F.col("shared_length") > 0).alias("n_overlapping"), F.avg("overlap").alias("mean_overlap"))
+    a = a.groupBy("kind", "split", "source").agg(F.count("*").alias("n_records"), F.count_if(F.col("shared_length") > 0).alias("n_overlapping"), F.round(F.avg("overlap"), 6).alias("mean_overlap"))
     hit = still_pairs(stills).select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct().withColumn("hit", F.lit(True))
-    held = stills.select(F.col("still_row").alias("id"), F.lower(F.trim("split")).alias("split"), "source").where(F.col("split").isin("val", "test"))
-    b = held.join(hit, "id", "left").groupBy(F.lit("still").alias("kind"), "split", "source").agg(F.count("*").alias("n_records"), F.count("hit").alias("n_overlapping"), F.avg(F.when(F.col("hit"), 1.0).otherwise(0.0)).alias("mean_overlap"))
+    held = stills.select(F.col("still_row").alias("id"), F.lower(F.trim("split")).alias("held_split"), "source").where(F.col("held_split").isin("val", "test"))
+    b = held.join(hit, "id", "left").groupBy(F.lit("still").alias("kind"), F.col("held_split").alias("split"), "source").agg(F.count("*").alias("n_records"), F.count("hit").alias("n_overlapping"), F.round(F.avg(F.when(F.col("hit"), 1.0).otherwise(0.0)), 6).alias("mean_overlap"))
     return a.unionByName(b)

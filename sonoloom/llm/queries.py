@@ -124,6 +124,24 @@ with sets as (
 )
 select distinct overlap_kind, least(x, y) as key_a, greatest(x, y) as key_b from pairs where x <> y
 """
+_REPORT_SQL = f"""
+with sets as (
+  select eval_id as id, lower(trim(split)) as split, source, kind, key from (
+    select eval_id, split, source, 'study' as kind, {study_key_sql('s')} as key from (select eval_id, split, source, unnest(study_ids) as s from eval_sets)
+    union select eval_id, split, source, 'patient', {patient_key_sql('p')} from (select eval_id, split, source, unnest(patient_ids) as p from eval_sets)
+  ) where key is not null
+), train as (select distinct kind, key from sets where split = 'train'),
+records as (
+  select s.kind, s.split, s.source, s.id, sum(length(s.key)) as total, sum(case when t.key is not null then length(s.key) else 0 end) as shared
+  from sets s left join train t on t.kind = s.kind and t.key = s.key where s.split in ('val', 'test') group by all
+), found as ({_PAIRS_SQL}), hit as (
+  select key_a as id from found where overlap_kind = 'still' union select key_b from found where overlap_kind = 'still'
+)
+select kind, split, source, count(*) as n_records, count(*) filter (shared > 0) as n_overlapping, round(avg(shared / total), 6) as mean_overlap from records group by all
+union all
+select 'still', lower(trim(r.split)), r.source, count(*), count(h.id), round(avg(case when h.id is null then 0.0 else 1.0 end), 6)
+from radar_stills r left join hit h on h.id = r.still_row where lower(trim(r.split)) in ('val', 'test') group by 2, 3
+"""
 _TIES_SQL = f"""
 with recursive rows as (
   select {patient_key_sql('patient_id')} as patient, {study_key_sql('study_id')} as study from build_manifests
@@ -136,4 +154,4 @@ with recursive rows as (
 )
 select a as patient_a, b as patient_b from reach where a < b
 """
-SQL: dict[str, str] = {"p3_found": _PAIRS_SQL, "p4_found": _TIES_SQL}
+SQL: dict[str, str] = {"p3_found": _PAIRS_SQL, "p3_overlap_report": _REPORT_SQL, "p4_found": _TIES_SQL}
