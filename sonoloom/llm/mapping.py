@@ -5,7 +5,8 @@ separators, case and accents. A value is searched with a Levenshtein automaton (
 transposition) whose transition table is shared by all values: the automaton and the trie
 are walked together, so only prefixes within the distance are visited. The distance
 allowed depends on the length. All entries within it are returned; the least distance
-decides, and a tie between entries means no match.
+decides, and a tie between entries means no match. A value cut short by a full stop is
+completed: its last word from the words of the list, or the whole from the trie.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ MAX_ENTRIES = 200_000
 CACHE_VALUES = 200_000
 _CAMEL = re.compile(r"(?<=[a-zà-ÿ0-9])(?=[A-ZÀ-Þ])")
 _WORD = re.compile(r"[a-z0-9]+")
+_CUT = re.compile(r"[^\W\d_]\.[\s?*]*$")
+LEAST_CUT = 8
 _GROUP = re.compile(r"\([^)]*\)|\[[^\]]*\]|\{[^}]*\}")
 
 
@@ -138,6 +141,24 @@ class Trie:
         return found
 
 
+    def below(self, word: str) -> dict[str, int]:
+        """Entries with a name that begins with ``word``, and how many letters follow at least."""
+        node = self.root
+        for c in word:
+            if (node := node.get(c)) is None:
+                return {}
+        found: dict[str, int] = {}
+        stack = [(node, 0)]
+        while stack:
+            node, more = stack.pop()
+            for c, child in node.items():
+                if c:
+                    stack.append((child, more + 1))
+                else:
+                    found |= {e: min(more, found.get(e, more)) for e in child}
+        return found
+
+
 def variants(value: str, trie: Trie) -> list[str]:
     """Readings of a value, the most faithful first, written compactly.
 
@@ -164,9 +185,9 @@ def variants(value: str, trie: Trie) -> list[str]:
                 forms += [" ".join([parts[1], parts[0], *parts[2:]]), " ".join([*parts[1:], parts[0]])]
         for f in forms:
             out.setdefault(compact(f))
-            for m in re.finditer(r"([^\W\d_]{4,})\.", fold(f)):
-                for w in trie.words.get(compact(m[1]), ())[:8]:
-                    folded = fold(f)
+            folded = fold(_CAMEL.sub(" ", f))
+            for m in re.finditer(r"([^\W\d_]{4,})\.", folded):
+                for w in trie.words.get(compact(m[1]), ()):
                     out.setdefault(compact(folded[: m.start()] + w + " " + folded[m.end() :]))
     return [v for v in out if v]
 
@@ -200,6 +221,11 @@ class Mapper:
             if hits:
                 answer = (next(iter(hits)), k) if len(hits) == 1 else (UNMATCHED, -1)
                 break
+        else:
+            # A value cut short by a full stop means the only entry that goes on from it.
+            cut = compact(_GROUP.sub(" ", value))
+            if _CUT.search(_GROUP.sub(" ", value)) and len(cut) >= LEAST_CUT and len(hits := self.trie.below(cut)) == 1:
+                answer = next(iter(hits.items()))
         if len(self.cache) >= CACHE_VALUES:
             self.cache.popitem(last=False)
         self.cache[value] = answer

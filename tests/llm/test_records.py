@@ -38,12 +38,13 @@ def test_mapping(spark):
     typed = {
         "LV-Clot ?": "lv_clot", "thrombus, left ventrcle": "lv_clot", "Caillot - Ventric. Gauche [v2]": "lv_clot", "echo: LeftVentricleThrombus": "lv_clot",
         "rihgt ventricle trombus, rest": "rv_clot", "liver cavity width": "unmatched", "tbd": "unmatched", "???": "unmatched", "xv_clot": "unmatched",
+        "caillotventricu.": "lv_clot", "LeftVentricleCav. ?": "lv_width", "left.": "unmatched",
     }
     rows = [(i, v, ["lv clot", "", None, "nothing"] if i == 0 else None, "zz") for i, v in enumerate([*typed, None, "", "tbd"])]
     df = spark.createDataFrame(rows, "mapping_id long, label string, concepts array<string>, concept_id string")
     onto = spark.createDataFrame([(e, n, None, []) for e, n in NAMES], "concept_id string, label_en string, label_fr string, aliases array<string>")
     got = {(r.mapping_id, r.field, r.item_no): r.concept_id for r in mapping.mapped_labels(df, onto).collect()}
-    want = {(i, "label", 0): c for i, c in enumerate(typed.values())} | {(0, "concepts", 1): "lv_clot", (0, "concepts", 4): "unmatched", (11, "label", 0): "unmatched"}
+    want = {(i, "label", 0): c for i, c in enumerate(typed.values())} | {(0, "concepts", 1): "lv_clot", (0, "concepts", 4): "unmatched", (14, "label", 0): "unmatched"}
     assert got == want
     assert mapping.mapped_labels(df.limit(0), onto).count() == 0
     report = {r.value: r.n_rows for r in mapping.unmatched_report(mapping.mapped_labels(df, onto)).collect()}
