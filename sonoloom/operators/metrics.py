@@ -84,11 +84,11 @@ def average_precision(df: DataFrame, positive: str, score: str) -> DataFrame:
 def youden(df: DataFrame, positive: str, score: str, near: float) -> DataFrame:
     """Threshold (midpoint of neighbouring scores) with the largest sensitivity + specificity - 1; ties go nearest to ``near``."""
     s = _distinct_scores(df, positive, score)
-    cum = running_sums(s, "s", [], {"n_upto": "n", "pos_upto": "pos"})
+    cum = running_sums(s.withColumn("one", F.lit(1)), "s", [], {"n_upto": "n", "pos_upto": "pos", "r": "one"})
     totals = s.agg(F.sum("pos").alias("p"), F.sum("n").alias("t")).first()
     p, t = totals.p or 0, totals.t or 0
-    nxt = F.lead("s").over(Window.partitionBy().orderBy("s"))
-    cut = cum.select("s", nxt.alias("next"), "n_upto", "pos_upto").where("next is not null")
+    following = cum.select((F.col("r") - 1).alias("r"), F.col("s").alias("next"))
+    cut = cum.select("r", "s", "n_upto", "pos_upto").join(following, "r")
     j = (F.lit(float(p)) - F.col("pos_upto")) / F.lit(float(p or 1)) + (F.col("n_upto") - F.col("pos_upto")) / F.lit(float((t - p) or 1)) - 1
     best = cut.select(((F.col("s") + F.col("next")) / 2).alias("threshold"), j.alias("youden_j"))
     return best.orderBy(F.round("youden_j", 12).desc(), F.abs(F.col("threshold") - near), "threshold").limit(1)

@@ -9,6 +9,9 @@ from sonoloom.functions.hashing import hash_int, hash_unit
 from sonoloom.functions.ranks import rank_by_hash
 
 
+MAX_WEIGHTS = 100_000
+
+
 def stratified(df: DataFrame, strata: list[str], k: int, seed: str, key: str) -> DataFrame:
     """Up to ``k`` rows of each stratum with their inclusion probability."""
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("stratum_size"))
@@ -28,7 +31,12 @@ def two_stage(df: DataFrame, cluster: str, key: str, n_clusters: int, per_cluste
 
 
 def weighted_draws(weights: DataFrame, key: str, weight: str, draws: int, seed: str, spark_range) -> DataFrame:
-    """``draws`` keys with replacement, each with probability proportional to its weight (inverse of the running sum)."""
+    """``draws`` keys with replacement, each with probability proportional to its weight (inverse of the running sum).
+
+    weights has one row per dataset or group: a short table, refused above MAX_WEIGHTS rows.
+    """
+    if weights.count() > MAX_WEIGHTS:
+        raise ValueError(f"over {MAX_WEIGHTS} weights; draw groups first, then rows within them")
     w = Window.partitionBy().orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = weights.withColumn("hi", F.sum(weight).over(w)).withColumn("lo", F.col("hi") - F.col(weight))
     total = F.lit(weights.agg(F.sum(weight)).first()[0])

@@ -65,15 +65,16 @@ def signal_report(t):
     return s.groupBy("signal").agg(hit.alias("n_hit"), both.alias("n_both"), F.round(F.try_divide(both, hit), 6).alias("precision"), F.round(F.try_divide(both, F.count_if("low")), 6).alias("recall"))
 
 
-@R.add(f"""with {P}, r as (select row_id, study, patient, view, row_number() over (partition by view order by prob desc, row_id) as k from p where view in ('A4C', 'PLAX') and patient is not null),
-a as (select * from r where view = 'A4C' and k <= 200), b as (select * from r where view = 'PLAX' and k <= 200)
-select a.row_id as first_row, b.row_id as second_row, a.k as first_rank, b.k as second_rank from a join b on a.patient <> b.patient order by a.k, b.k limit 1""")
+@R.add(f"""with {P}, r as (select row_id, patient, view, prob from p where patient is not null)
+select a.row_id as first_row, b.row_id as second_row from r a join r b on a.view = 'A4C' and b.view = 'PLAX' and a.patient <> b.patient order by a.prob desc, a.row_id, b.prob desc, b.row_id limit 1""")
 def best_distinct_pair(t):
-    k = F.row_number().over(Window.partitionBy("view").orderBy(F.col("prob").desc(), "row_id")).cast("long")
-    r = predictions(t).where("view in ('A4C', 'PLAX') and patient is not null").withColumn("k", k).where("k <= 200")
-    a = r.where("view = 'A4C'").select(F.lit(1).alias("one"), F.col("row_id").alias("first_row"), F.col("patient").alias("pa"), F.col("k").alias("first_rank"))
-    b = r.where("view = 'PLAX'").select(F.lit(1).alias("one"), F.col("row_id").alias("second_row"), F.col("patient").alias("pb"), F.col("k").alias("second_rank"))
-    return a.join(b, "one").where("pa <> pb").orderBy("first_rank", "second_rank").limit(1).select("first_row", "second_row", "first_rank", "second_rank")
+    """Best-ranked pair over two pools with different patients: the best row of the two best patients of each pool is enough."""
+    order = [F.col("prob").desc(), F.col("row_id")]
+    best = predictions(t).where("view in ('A4C', 'PLAX') and patient is not null").groupBy("view", "patient").agg(F.min(F.struct((-F.col("prob")).alias("d"), "row_id")).alias("b"))
+    best = best.select("view", "patient", (-F.col("b.d")).alias("prob"), "b.row_id")
+    pools = [best.where(F.col("view") == v).orderBy(*order).limit(2).select(F.lit(1).alias("one"), F.struct("prob", "row_id", "patient").alias(n)) for v, n in (("A4C", "a"), ("PLAX", "b"))]
+    pair = pools[0].join(pools[1], "one").where("a.patient <> b.patient").orderBy(F.col("a.prob").desc(), "a.row_id", F.col("b.prob").desc(), "b.row_id").limit(1)
+    return pair.select(F.col("a.row_id").alias("first_row"), F.col("b.row_id").alias("second_row"))
 
 
 @R.add(f"with {M}, g as (select study, n_frames, lag(n_frames) over (partition by study order by ingested_at, row_id) as before from m where study is not null) select study, count(before) as n_pairs, round(avg((abs(n_frames - before) <= 2)::int), 6) as share from g group by 1")
