@@ -58,43 +58,63 @@ def compat_table() -> dict[int, str | None]:
 
 
 PROTOTYPE = {other: latin for latin, others in LOOKALIKES.items() for other in others}
-_TO_PROTOTYPE = str.maketrans(PROTOTYPE)
 _SPECIAL_ASCII = re.compile("[\x00-\x09\x0b-\x1f\x7f]")
 _RETURNS = re.compile("\r\n?")
 
 
+class Filled(dict):
+    """Translation table that works a code point out when it first meets it; a plain dict is slow on every miss."""
+
+    def __init__(self, rule):
+        super().__init__()
+        self.rule = rule
+
+    def __missing__(self, cp: int) -> str | None:
+        self[cp] = out = self.rule(chr(cp))
+        return out
+
+
+def _decomposed(ch: str) -> str | None:
+    form = compat_table().get(ord(ch), ch)
+    return None if form is None else unicodedata.normalize("NFD", form)
+
+
+_PREPARE = Filled(_decomposed)
+TO_PROTOTYPE = Filled(lambda ch: PROTOTYPE.get(ch, ch))
+SIGNS_TO_PROTOTYPE = Filled(lambda ch: plain if (plain := PROTOTYPE.get(ch, ch)) and not plain.isalpha() else ch)
+
+
 def prepare(text: str) -> str:
     """Decomposed text after compatibility forms are folded and ignorable characters are gone."""
     if text.isascii() and not _SPECIAL_ASCII.search(text):
         return text
-    return unicodedata.normalize("NFD", _RETURNS.sub("\n", text).translate(compat_table()))
+    t = _RETURNS.sub("\n", text).translate(_PREPARE)
+    return t if t.isascii() else unicodedata.normalize("NFD", t)
 
 
 def skeleton(text: str) -> str:
     """``prepare`` with every look-alike replaced by its Latin shape: equal for texts that look the same."""
     t = prepare(text)
-    return t if t.isascii() else t.translate(_TO_PROTOTYPE)
+    return t if t.isascii() else t.translate(TO_PROTOTYPE)
 
 
-@lru_cache(maxsize=1)
-def _marks() -> re.Pattern:
-    runs, start = [], None
-    for cp in range(0x300, 0x20000):
-        mark = unicodedata.category(chr(cp)) == "Mn"
-        if mark and start is None:
-            start = cp
-        elif not mark and start is not None:
-            runs.append(f"{chr(start)}-{chr(cp - 1)}" if cp - 1 > start else chr(start))
-            start = None
-    return re.compile(f"[{''.join(runs)}]+")
+def _folded(ch: str) -> str | None:
+    """What is left of a character when words are compared."""
+    form = _decomposed(ch)
+    if form is None:
+        return None
+    plain = "".join(PROTOTYPE.get(c, c) for c in form)
+    return unicodedata.normalize("NFC", "".join(c for c in plain if unicodedata.category(c) != "Mn"))
 
 
+_FOLD = Filled(_folded)
 _WORD = re.compile(r"[^\W_]+")
 
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits; case, accents, punctuation and look-alikes do not count."""
-    t = skeleton(text)
-    if not t.isascii():
-        t = unicodedata.normalize("NFC", _marks().sub("", t))
-    return _WORD.findall(t.lower())
+    if not text.isascii() or _SPECIAL_ASCII.search(text):
+        text = _RETURNS.sub("\n", text).translate(_FOLD)
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text)
+    return _WORD.findall(text.lower())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonoloom.functions.skew import spread
-from sonoloom.llm.chars import LOOKALIKES, PROTOTYPE, prepare
+from sonoloom.llm.chars import LOOKALIKES, PROTOTYPE, SIGNS_TO_PROTOTYPE, TO_PROTOTYPE, prepare
 from sonoloom.llm.frames import frame
 from sonoloom.llm.pairs import pairs_across_classes
 
@@ -117,19 +117,16 @@ class Reader:
         """The consistent form of a whole text."""
         t = prepare(text)
         if not t.isascii():
-            t = t.translate(_SIGNS)
+            t = t.translate(SIGNS_TO_PROTOTYPE)
         # The reading depends on the classes only, so tokens are looked up by their Latin shape.
         parts, known = _TOKEN.split(t), self.cache
         for k in range(1, len(parts), 2):
             w = parts[k]
-            parts[k] = known.get(w) or self.token(w if w.isascii() else w.translate(_SHAPE))
+            parts[k] = known.get(w) or self.token(w if w.isascii() else w.translate(TO_PROTOTYPE))
         t = "".join(parts)
         return t if t.isascii() else unicodedata.normalize("NFC", t)
 
 
-_SHAPE = str.maketrans(PROTOTYPE)
-_SIGNS = str.maketrans({other: plain for other, plain in PROTOTYPE.items() if not plain.isalpha()})
-
 
 def consistent_text(docs: DataFrame, model: dict[str, int] | None = None, text: str = "text", out: str = "form") -> DataFrame:
     """``docs`` with the column ``out``: the consistent form of ``text``, null for null.
