@@ -1,9 +1,10 @@
 """Splits that keep related records together (problem 4).
 
 Patients tied by a study form components. The component table (patient -> component,
-split) is a Parquet table that outlives the run: a later batch adds its ties to it,
-components that exist keep their split, new ones fill what each split still lacks, and a
-merge of components with different splits is quarantined instead of guessed.
+split, rows) and its study table (study -> component, split, rows) are Parquet tables that
+outlive the run: a later batch adds its ties to them, also those through studies of earlier
+batches, components that exist keep their split, new ones fill what each split still lacks
+of all rows, and a merge of components with different splits is quarantined instead of guessed.
 
 Ties are stars, one edge from every patient of a study to its least patient. Components
 come from hooking each root to its least neighbour, pointer jumping until every pointer
@@ -81,15 +82,9 @@ def normalised_rows(manifests: DataFrame, row_id: str = "row_id") -> DataFrame:
     return manifests.select(F.col(row_id).alias("row_id"), patient_key(F.col("patient_id")).alias("patient"), study_key(F.col("study_id")).alias("study"))
 
 
-def component_table(rows: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """patient, component of all patients of ``rows`` and of the known table that are tied to another patient.
-
-    known: patient, component, split of an earlier run; its components are edges like any other.
-    """
-    edges = study_ties(rows)
-    if known is not None:
-        edges = edges.unionByName(known.where("patient <> component").select(F.col("component").alias("a"), F.col("patient").alias("b")))
-    return components(edges).select(F.col("node").alias("patient"), F.col("root").alias("component"))
+def component_table(rows: DataFrame) -> DataFrame:
+    """patient, component of all patients of ``rows`` that are tied to another patient."""
+    return components(study_ties(rows)).select(F.col("node").alias("patient"), F.col("root").alias("component"))
 
 
 def tied_patients(rows: DataFrame) -> DataFrame:
@@ -137,47 +132,59 @@ def fill_plan(sizes: list[tuple[int, int]], held: dict[str, int], shares: dict[s
     return plan
 
 
-def split_rows(manifests: DataFrame, known: DataFrame | None = None, shares: dict[str, float] | None = None, row_id: str = "row_id", seed: str = "split") -> tuple[DataFrame, DataFrame]:
-    """(assignment, table): row_id, component, split of every row; and the component table for the next run.
+def split_batch(
+    manifests: DataFrame, known: DataFrame | None = None, studies: DataFrame | None = None, shares: dict[str, float] | None = None, row_id: str = "row_id", seed: str = "split"
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(assignment, table, studies): row_id, component, split of every row; and the two tables for the next run.
+
+    table: patient, component, split, n (rows so far). studies: study, component (``p:`` and
+    its least patient, or ``s:`` and the study if no patient is known), split, n (rows so far
+    without a patient); its rows without a study count the rows that had no id at all.
 
     Defined cases: a row without a patient goes with its study, and with that study's
-    patients if it has any; a row without either stands alone; repeated rows share a
-    split; an empty table gives empty results. A component whose known members have
-    different splits gets the split ``quarantine`` until someone decides. Extra columns
-    are ignored. The driver takes one row per distinct component size (at most the square
-    root of twice the rows).
+    patients if it has any, of this batch or an earlier one; a row without either stands
+    alone; repeated rows share a split; an empty table gives empty results. A component
+    whose known members have different splits gets the split ``quarantine`` until someone
+    decides (in ``table``; a study with patients follows them). New components fill what each
+    split lacks of all rows so far. Extra columns are ignored. The driver takes one row per
+    distinct component size (at most the square root of twice the rows).
     """
     spark = manifests.sparkSession
     shares = shares or SHARES
     # Ids with a prefix, so that patients, studies and lone rows cannot meet by accident.
     rows = normalised_rows(manifests, row_id)
-    tied = component_table(rows, known)
-    by_patient = rows.where("patient is not null").groupBy("patient").agg(F.count("*").alias("n"))
-    comp = _lookup(by_patient, "patient", tied, "patient", "component", "component").select(F.concat(F.lit("p:"), "patient").alias("key"), F.concat(F.lit("p:"), "component").alias("component"), "n")
-    orphan = rows.where("patient is null and study is not null").groupBy("study").agg(F.count("*").alias("n"))
-    owner = rows.where("patient is not null and study is not null").groupBy("study").agg(F.min("patient").alias("owner"))
-    owned = orphan.join(owner, "study", "left")
-    owned = _lookup(owned.withColumn("owner", F.coalesce("owner", F.concat(F.lit("\u0001"), "study"))), "owner", tied, "patient", "component", "component")
-    by_study = owned.select(
-        F.concat(F.lit("s:"), "study").alias("key"),
-        F.when(F.col("component").startswith("\u0001"), F.concat(F.lit("s:"), "study")).otherwise(F.concat(F.lit("p:"), "component")).alias("component"),
-        "n",
-    )
-    lone = rows.where("patient is null and study is null").select(F.concat(F.lit("r:"), F.col("row_id").cast("string")).alias("key"), F.concat(F.lit("r:"), F.col("row_id").cast("string")).alias("component"), F.lit(1).cast("long").alias("n"))
-    keys = write_scratch(comp.unionByName(by_study).unionByName(lone), "keys")
-    sizes = keys.groupBy("component").agg(F.sum("n").alias("n"))
-    if known is None:
-        state = sizes.withColumn("kept", F.lit(None).cast("string"))
-    else:
-        before = known.select(F.concat(F.lit("p:"), "patient").alias("key"), "split")
-        old = before.join(keys.select("key", "component"), "key", "left")
-        # Known patients without a row in this batch may still belong to a component that has one.
-        gone = before.join(tied.select(F.concat(F.lit("p:"), "patient").alias("key"), F.concat(F.lit("p:"), "component").alias("c")), "key", "left").select("key", "split", F.coalesce("c", "key").alias("component"))
-        marks = old.where("component is not null").select("component", "split").unionByName(gone.select("component", "split")).where("split is not null")
-        marked = marks.groupBy("component").agg(F.min("split").alias("lo"), F.max("split").alias("hi"))
-        state = sizes.join(marked, "component", "left").select("component", "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo").isNotNull(), F.lit(QUARANTINE)).alias("kept"))
+    p, s = (lambda c: F.concat(F.lit("p:"), c)), (lambda c: F.concat(F.lit("s:"), c))
+    edges = study_ties(rows).select(p("a").alias("a"), p("b").alias("b"))
+    named = rows.where("study is not null").groupBy("study").agg(F.min("patient").alias("owner"), F.count_if(F.col("patient").isNull()).alias("n"))
+    named = named.select("study", p("owner").alias("owner"), "n", F.lit(None).cast("string").alias("was"))
+    if known is not None:
+        known = known.select("patient", "component", "split", F.col("n") if "n" in known.columns else F.lit(0).cast("long").alias("n"))
+        edges = edges.unionByName(known.where("patient <> component").select(p("component").alias("a"), p("patient").alias("b")))
+    if studies is not None:
+        named = named.drop("was").join(studies.where("study is not null").select("study", F.col("component").alias("was")), "study", "left")
+        edges = edges.unionByName(named.where("owner <> was").select(F.col("was").alias("a"), F.col("owner").alias("b")))
+    tied = components(edges)
+    blank = F.lit(None).cast("string").alias("split")
+    placed_at = rows.where("patient is not null").groupBy("patient").agg(F.count("*").alias("n")).select(p("patient").alias("key"), p("patient").alias("at"), "n", blank)
+    placed_at = placed_at.unionByName(named.select(s("study").alias("key"), F.coalesce("owner", "was", s("study")).alias("at"), "n", blank))
+    if known is not None:
+        placed_at = placed_at.unionByName(known.select(p("patient").alias("key"), p("patient").alias("at"), "n", "split"))
+    if studies is not None:
+        own = F.when(F.col("component").startswith("s:"), F.col("split")).alias("split")
+        placed_at = placed_at.unionByName(studies.where("study is not null").select(s("study").alias("key"), F.col("component").alias("at"), "n", own))
+    keys = _lookup(placed_at, "at", tied, "node", "root", "component").select("key", "component", "n", "split")
+    if known is not None or studies is not None:
+        keys = keys.groupBy("key").agg(F.min("component").alias("component"), F.sum("n").alias("n"), F.min("split").alias("split"))
+    single = F.concat(F.lit("r:"), F.col("row_id").cast("string"))
+    lone = rows.where("patient is null and study is null").select(single.alias("key"), single.alias("component"), F.lit(1).cast("long").alias("n"), blank)
+    keys = write_scratch(keys.unionByName(lone), "keys")
+    sizes = keys.groupBy("component").agg(F.sum("n").alias("n"), F.min("split").alias("lo"), F.max("split").alias("hi"))
+    state = sizes.select("component", "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).when(F.col("lo").isNotNull(), QUARANTINE).alias("kept"))
     state = write_scratch(state, "sizes")
     held = {r.kept: r.n for r in state.where("kept is not null").groupBy("kept").agg(F.sum("n").alias("n")).collect()}
+    unnamed = studies.where("study is null").select("study", "component", "split", "n") if studies is not None else None
+    for r in unnamed.groupBy("split").agg(F.sum("n").alias("n")).collect() if unnamed is not None else []:
+        held[r.split] = held.get(r.split, 0) + r.n
     new = state.where("kept is null")
     counts = [(r.n, r.c) for r in new.groupBy("n").agg(F.count("*").alias("c")).collect()]
     plan = fill_plan(counts, {k: v for k, v in held.items() if k in shares}, shares)
@@ -198,20 +205,27 @@ def split_rows(manifests: DataFrame, known: DataFrame | None = None, shares: dic
     for k in range(len(names) - 2, -1, -1):
         pick = F.when(F.col("rank") <= F.col("upto")[k], F.lit(names[k])).otherwise(pick)
     decided = write_scratch(state.where("kept is not null").select("component", F.col("kept").alias("split")).unionByName(ranked.select("component", pick.alias("split"))), "splits")
-    placed = write_scratch(keys.join(decided, "component").select("key", "component", "split"), "placed")
+    placed = write_scratch(keys.drop("split").join(decided, "component").select("key", "component", "split", "n"), "placed")
     keyed = rows.select("row_id", F.coalesce(F.concat(F.lit("p:"), "patient"), F.concat(F.lit("s:"), "study"), F.concat(F.lit("r:"), F.col("row_id").cast("string"))).alias("key"))
-    out = salted_join(keyed, placed, "key", hot_keys(keyed, "key"), F.col("row_id")).select("row_id", "component", "split")
-    table = placed.where(F.col("key").startswith("p:")).select(F.substring("key", 3, 1 << 20).alias("patient"), F.substring("component", 3, 1 << 20).alias("component"), "split")
-    if known is not None:
-        renamed = known.join(tied.withColumnRenamed("component", "merged"), "patient", "left").select("patient", F.coalesce("merged", "component").alias("component"), F.col("split").alias("old"))
-        absent = renamed.join(table.select("patient"), "patient", "left_anti")
-        now = decided.where(F.col("component").startswith("p:")).select(F.substring("component", 3, 1 << 20).alias("component"), "split")
-        table = table.unionByName(absent.join(now, "component", "left").select("patient", "component", F.coalesce("split", "old").alias("split")))
-    return out, table
+    out = salted_join(keyed, placed.drop("n"), "key", hot_keys(keyed, "key"), F.col("row_id")).select("row_id", "component", "split")
+    table = placed.where(F.col("key").startswith("p:")).select(F.substring("key", 3, 1 << 20).alias("patient"), F.substring("component", 3, 1 << 20).alias("component"), "split", "n")
+    seen = placed.where(F.col("key").startswith("s:")).select(F.substring("key", 3, 1 << 20).alias("study"), "component", "split", "n")
+    none = F.lit(None).cast("string")
+    counted = placed.where(F.col("key").startswith("r:")).select(none.alias("study"), none.alias("component"), "split", "n")
+    if unnamed is not None:
+        counted = counted.unionByName(unnamed)
+    return out, table, seen.unionByName(counted.groupBy("study", "component", "split").agg(F.sum("n").alias("n")))
+
+
+def split_rows(
+    manifests: DataFrame, known: DataFrame | None = None, shares: dict[str, float] | None = None, row_id: str = "row_id", seed: str = "split", studies: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Assignment and patient table of :func:`split_batch`; a later batch needs the study table too, so use that or :func:`update_split_table`."""
+    return split_batch(manifests, known, studies, shares, row_id, seed)[:2]
 
 
 def update_split_table(manifests: DataFrame, path: str, shares: dict[str, float] | None = None) -> DataFrame:
-    """Assignment of a batch with the component table kept under ``path``, one folder per version.
+    """Assignment of a batch with the component table kept under ``path``, one folder per version, its study table under ``path``/studies.
 
     The last version is read, the batch is merged into it and the next version is written
     before the assignment is returned; a run that dies leaves the last version as it was.
@@ -221,7 +235,10 @@ def update_split_table(manifests: DataFrame, path: str, shares: dict[str, float]
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     done = [s.getPath().getParent().getName() for s in (fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")) or [])]
     last = max((int(d.split("=")[1]) for d in done), default=0)
-    known = spark.read.parquet(f"{path}/v={last}").select("patient", "component", "split") if last else None
-    out, table = split_rows(manifests, known, shares)
+    known = spark.read.parquet(f"{path}/v={last}") if last else None
+    # Versions written before there was a study table have none.
+    there = last and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/studies/v={last}/_SUCCESS"))
+    out, table, studies = split_batch(manifests, known, spark.read.parquet(f"{path}/studies/v={last}") if there else None, shares)
+    studies.write.mode("overwrite").parquet(f"{path}/studies/v={last + 1}")
     table.write.mode("overwrite").parquet(f"{path}/v={last + 1}")
     return out

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sonoloom.llm import grouped_split, mapping, overlap, packing, pairs
 
@@ -186,6 +187,44 @@ def test_table_versions(spark, tmp_path):
     assert spark.read.parquet(f"{path}/v=2").count() == 21 and spark.read.parquet(f"{path}/v=1").count() == 20
 
 
+def test_later_batch_ties_through_known_studies(spark, tmp_path):
+    path = str(tmp_path / "components")
+
+    def batch(*rows):
+        df = spark.createDataFrame([(*r, "zz") for r in rows], MANIFEST)
+        return {r.row_id: (r.component, r.split) for r in grouped_split.update_split_table(df, path).collect()}
+
+    first = batch(*((i, str(100 + i), f"s{i}") for i in range(40)), *((50 + i, None, f"o{i}") for i in range(20)))
+    other = next(i for i in range(40) if first[i][1] != first[0][1])
+    calm = next(i for i in range(40) if i not in (0, other))
+    alone = next(i for i in range(20) if first[50 + i][1] != first[0][1])
+    reused = [(200 + i, str(900 + i), f"s{i}") for i in range(40)] + [(300 + i, None, f"s{i}") for i in range(40)]
+    second = batch(*reused, *((400 + i, None, f"o{i}") for i in range(20)))
+    assert all(second[200 + i] == second[300 + i] == first[i] for i in range(40))
+    assert all(second[400 + i] == first[50 + i] for i in range(20))
+    third = batch((500, "777", f"o{alone}"), (501, "778", "s0"), (502, "778", f"s{other}"), (503, None, f"s{other}"), (504, "779", f"s{calm}"))
+    assert third[500][1] == first[50 + alone][1] and third[500][0] == "p:777"
+    assert {third[k][1] for k in (501, 502, 503)} == {"quarantine"} and third[504] == first[calm]
+    fourth = batch((600, None, f"o{alone}"), (601, None, "s0"))
+    assert fourth == {600: third[500], 601: third[501]}
+    # Quarantine ends where someone decides it, in the patient table.
+    table, studies = spark.read.parquet(f"{path}/v=4"), spark.read.parquet(f"{path}/studies/v=4")
+    decided = table.withColumn("split", F.when(F.col("split") == "quarantine", "train").otherwise(F.col("split")))
+    again = spark.createDataFrame([(700, None, "s0", "zz")], MANIFEST)
+    assert [r.split for r in grouped_split.split_batch(again, decided, studies)[0].collect()] == ["train"]
+
+
+def test_later_batch_fills_the_shares_of_all_rows(spark, tmp_path):
+    path = str(tmp_path / "components")
+    grouped_split.update_split_table(spark.createDataFrame([(i, "1", None, "zz") for i in range(100)] + [(100 + i, None, None, "zz") for i in range(100)], MANIFEST), path)
+    split = grouped_split.update_split_table(spark.createDataFrame([(1000 + i, str(i + 2), None, "zz") for i in range(800)], MANIFEST), path)
+    held = {}
+    for t in (spark.read.parquet(f"{path}/v=2"), spark.read.parquet(f"{path}/studies/v=2")):
+        for r in t.groupBy("split").agg(F.sum("n").alias("n")).collect():
+            held[r.split] = held.get(r.split, 0) + r.n
+    assert held == {"train": 700, "val": 100, "test": 200} and split.count() == 800
+
+
 def test_pairs_across_classes(spark):
     rows = [("g", "a", 1), ("g", "a", 2), ("g", "b", 3), ("g", "b", 3), ("h", "c", 4), ("h", "c", 5)]
     df = spark.createDataFrame(rows, "grp string, cls string, id long")
