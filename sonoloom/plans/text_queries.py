@@ -71,6 +71,13 @@ def word_counts_min_support(t):
     return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs")).where("n >= 20")
 
 
+@R.add("""with w as (select unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}]+')) as word, doc_id from documents)
+select word, count(*) as n, count(distinct doc_id) as n_docs from w group by 1 having count(*) >= 20""")
+def word_counts_all(t):
+    w = t.documents.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{M}]+)"), F.lit(1))).alias("word"))
+    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs")).where("n >= 20")
+
+
 @R.add("select doc_id, nullif(regexp_extract(text, '(?s)(?:^|\\n)Measurements\\n+(.*?)(?:\\n\\n|$)', 1), '') as section from documents where text like '%Measurements%'")
 def text_section(t):
     return t.documents.where(F.col("text").like("%Measurements%")).select("doc_id", textops.section(F.col("text"), "Measurements").alias("section"))
