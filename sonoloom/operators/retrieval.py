@@ -67,6 +67,15 @@ def softmax(scores: DataFrame, group: str, score: str, temperature: float) -> Da
     return scores.withColumn("probability", e / F.sum(e).over(w))
 
 
+def softmax_array(df: DataFrame, scores: str, temperature: float) -> DataFrame:
+    """A row per option of ``scores`` (array of grade, score), with its probability; within the row, without a shuffle."""
+    others = [c for c in df.columns if c != scores]
+    top = F.array_max(F.transform(scores, lambda s: s["score"]))
+    e = df.withColumn("_top", top).withColumn("_e", F.transform(scores, lambda s: F.struct(s["grade"].alias("grade"), F.exp((s["score"] - F.col("_top")) / temperature).alias("e"))))
+    total = F.aggregate("_e", F.lit(0.0), lambda a, s: a + s["e"])
+    return e.select(*others, total.alias("_total"), F.explode("_e").alias("_s")).select(*others, "_s.grade", (F.col("_s.e") / F.col("_total")).alias("probability"))
+
+
 def lower_median(values: Column) -> Column:
     """Middle of a sorted array, the lower one of two."""
     s = F.array_sort(values)

@@ -167,6 +167,34 @@ def prompt_binary(t):
     return s.select("query_id", F.round(1 / (1 + F.exp(-F.col("d") / 0.1)), 6).alias("probability"))
 
 
+# Every row against the prompt vectors: grade centres of length 1, and the mean over each of two prompt sets.
+_CENTRES = f"""{_UNIT}, c as (select {{grade}} as grade, i, avg(v[i]) as x from u, range(1, 65) r(i) where vec_id % 20 <> 0 and label is not null group by 1, 2), p as (select grade, list(x order by i) as x from c group by 1),
+s as (select q.vec_id, p.grade, list_dot_product(q.v, p.x){{length}} as score from u q, p where q.v is not null)"""
+
+
+def _all_scores(t, grade, pooled):
+    """vec_id, and the grades with their scores in one array: a map over the rows, no shuffle of them."""
+    u = _units(t)
+    p = retrieval.mean_vector(u.where("vec_id % 20 <> 0 and label is not null").select(grade.alias("grade"), "v"), ["grade"], "v")
+    p = p.select("grade", retrieval.unit(F.col("v")).alias("v")) if pooled else p
+    held = p.agg(F.array_sort(F.collect_list(F.struct("grade", "v"))).alias("grades"))
+    score = F.transform("grades", lambda g: F.struct(g["grade"].alias("grade"), retrieval.dot(F.col("v"), g["v"]).alias("score")))
+    return u.where("v is not null").select("vec_id", "v").crossJoin(F.broadcast(held)).select("vec_id", score.alias("scores"))
+
+
+@R.add(f"""with {_CENTRES.format(grade="label", length=" / sqrt(list_dot_product(p.x, p.x))")}, e as (select *, exp((score - max(score) over (partition by vec_id)) / 0.1) as e from s)
+select vec_id, grade, round(e / sum(e) over (partition by vec_id), 6) as probability from e""")
+def prompt_categorical_all(t):
+    return retrieval.softmax_array(_all_scores(t, F.col("label"), True), "scores", 0.1).select("vec_id", "grade", F.round("probability", 6).alias("probability"))
+
+
+@R.add(f"with {_CENTRES.format(grade='(label < 5)', length='')} select vec_id, round(1 / (1 + exp(-(max(score) filter (grade) - max(score) filter (not grade)) / 0.1)), 6) as probability from s group by 1")
+def prompt_binary_all(t):
+    of = lambda x: F.element_at(F.transform(F.filter("scores", lambda g: g["grade"] == F.lit(x)), lambda g: g["score"]), 1)
+    d = _all_scores(t, F.col("label") < 5, False).select("vec_id", (of(True) - of(False)).alias("d"))
+    return d.select("vec_id", F.round(1 / (1 + F.exp(-F.col("d") / 0.1)), 6).alias("probability"))
+
+
 @R.add("with c as (select label, i, avg(embedding[i]::double) as x from embeddings, range(1, 65) r(i) group by 1, 2) select label, round(sqrt(sum(x * x)), 6) as length, round(max(x), 6) as largest from c group by 1")
 def layout_baseline_mean(t):
     m = retrieval.mean_vector(t.embeddings.select("label", F.transform("embedding", lambda x: x.cast("double")).alias("v")), ["label"], "v")

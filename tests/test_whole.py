@@ -1,5 +1,7 @@
 """Queries that do the whole job where an older one of the same kind keeps to a part of its table."""
 
+import random
+
 import __spark_entry__ as entry
 
 
@@ -8,3 +10,20 @@ def test_word_counts_all_languages(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.word, r.n, r.n_docs) for r in entry.queries()["word_counts_all"](spark, str(tmp_path)).collect()}
     assert got == {(w, 20, 1) for w in ("fraction", "d", "éjection", "à", "no", "überleitung")}
+
+
+def embeddings(spark, folder, n=60):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(10), [rng.uniform(-1, 1) for _ in range(64)]) for i in range(n)]
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    return rows
+
+
+def test_prompts_score_every_row(spark, tmp_path):
+    rows = embeddings(spark, tmp_path)
+    grades = len({label for i, label, _ in rows if i % 20})
+    got = entry.queries()["prompt_categorical_all"](spark, str(tmp_path)).collect()
+    assert len(got) == 60 * grades
+    for i in range(60):
+        assert abs(sum(r.probability for r in got if r.vec_id == i) - 1) < 1e-4
+    assert sorted(r.vec_id for r in entry.queries()["prompt_binary_all"](spark, str(tmp_path)).collect()) == list(range(60))
