@@ -149,6 +149,17 @@ def bootstrap_means(df: DataFrame, value: str, position: str, n: int, reps: int,
     return picked.join(df.select(position, value), position).groupBy("rep").agg((F.sum(F.col("times") * F.col(value)) / F.sum("times")).alias("mean"))
 
 
+def bootstrap_ratios(df: DataFrame, top: str, bottom: str, position: str, n: int, reps: DataFrame, seed: str) -> DataFrame:
+    """sum(top) / sum(bottom) of each resample of ``n`` groups: the metric over all rows of the drawn groups, from a row of sums per group.
+
+    Draws as in :func:`bootstrap_means`.
+    """
+    draws = reps.select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    picked = draws.select("rep", F.pmod(hash_int(seed, F.col("rep"), F.col("i")), F.lit(n)).alias(position)).groupBy("rep", position).agg(F.count(F.lit(1)).alias("times"))
+    ratio = F.try_divide(F.sum(F.col("times") * F.col(top)), F.sum(F.col("times") * F.col(bottom)))
+    return picked.join(df.select(position, top, bottom), position).groupBy("rep").agg(ratio.alias("value"))
+
+
 def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson score interval of a proportion."""
     p = k / n

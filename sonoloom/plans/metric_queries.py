@@ -136,6 +136,18 @@ def bootstrap_cluster_ci(t):
     return m.agg(F.round(q[0], 6).alias("low"), F.round(q[1], 6).alias("mid"), F.round(q[2], 6).alias("high"), F.count(F.lit(1)).alias("reps"))
 
 
+@R.add(f"""with {P}, g as (select coalesce(site, 'None') as site, round(sum(p - y), 6) as s, count(p - y) as c from p group by 1), x as (select s, c, row_number() over (order by site) - 1 as pos, count(*) over () as n from g),
+d as (select r.range as rep, i.range as i, {hash_int_sql('boot', 'r.range', 'i.range')} as h from range(1000) r, range((select max(n) from x)) i),
+mm as (select d.rep, sum(x.s) / nullif(sum(x.c), 0) as value from d join x on x.pos = d.h % x.n group by 1) select round(quantile_cont(value, 0.025), 6) as low, round(quantile_cont(value, 0.5), 6) as mid, round(quantile_cont(value, 0.975), 6) as high, count(value) as reps from mm""")
+def bootstrap_cluster_pooled_ci(t):
+    e = F.col("p") - F.col("y")
+    g = predictions(t).groupBy(F.coalesce("site", F.lit("None")).alias("site")).agg(F.round(F.sum(e), 6).alias("s"), F.count(e).alias("c"))
+    x = g.withColumn("at", F.row_number().over(Window.partitionBy().orderBy("site")).cast("long") - 1)
+    m = metrics.bootstrap_ratios(x, "s", "c", "at", g.count(), t.spark.range(1000), "boot")
+    q = F.percentile("value", [0.025, 0.5, 0.975])
+    return m.agg(F.round(q[0], 6).alias("low"), F.round(q[1], 6).alias("mid"), F.round(q[2], 6).alias("high"), F.count("value").alias("reps"))
+
+
 _WILSON = "count(*) filter (low) as k, count(*) as n"
 
 

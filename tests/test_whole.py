@@ -3,6 +3,7 @@
 import random
 
 import __spark_entry__ as entry
+from sonoloom.operators import metrics
 
 
 def test_word_counts_all_languages(spark, tmp_path):
@@ -27,3 +28,10 @@ def test_prompts_score_every_row(spark, tmp_path):
     for i in range(60):
         assert abs(sum(r.probability for r in got if r.vec_id == i) - 1) < 1e-4
     assert sorted(r.vec_id for r in entry.queries()["prompt_binary_all"](spark, str(tmp_path)).collect()) == list(range(60))
+
+
+def test_bootstrap_weighs_groups_by_their_rows(spark):
+    # 1 row of error 100 and 99 rows of error 0: a resample with one group each has the mean 1, not 50.
+    sums = spark.createDataFrame([(0, 100.0, 1), (1, 0.0, 99)], "at long, s double, c long")
+    got = {round(r.value, 9) for r in metrics.bootstrap_ratios(sums, "s", "c", "at", 2, spark.range(50), "boot").collect()}
+    assert got == {0.0, 1.0, 100.0}
