@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +74,30 @@ def softmax_array(df: DataFrame, scores: str, temperature: float) -> DataFrame:
     return e.select(*others, total.alias("_total"), F.explode("_e").alias("_s")).select(*others, "_s.grade", (F.col("_s.e") / F.col("_total")).alias("probability"))
 
 
+def share_median(rows: DataFrame, prompts: DataFrame, share: float) -> DataFrame:
+    """vec_id, lower_median: lower median of the labels of the ``share`` of ``prompts`` most similar to each row (cosine, ties by id).
+
+    rows: vec_id, v; prompts: vec_id, label, v (unit vectors), a set of bounded size that goes to every executor.
+    """
+    held = sorted((r.vec_id, r.label, list(r.v)) for r in prompts.select("vec_id", "label", "v").collect())
+    k = kept(len(held), share)
+
+    def estimate(batches):
+        import numpy as np
+        import pandas as pd
+
+        matrix, labels = np.array([v for _, _, v in held], dtype=np.float64), np.array([x for _, x, _ in held])
+        for pdf in batches:
+            if not len(pdf) or not len(held):
+                continue
+            sim = np.round(np.stack(pdf["v"].to_numpy()).astype(np.float64) @ matrix.T, 9)
+            best = np.argsort(-sim, axis=1, kind="stable")[:, :k]  # prompts are in order of their ids
+            yield pd.DataFrame({"vec_id": pdf["vec_id"], "lower_median": np.sort(labels[best], axis=1)[:, (k - 1) // 2]})
+
+    kinds = dict(rows.dtypes) | {"label": dict(prompts.dtypes)["label"]}
+    return rows.select("vec_id", "v").mapInPandas(estimate, f"vec_id {kinds['vec_id']}, lower_median {kinds['label']}")
+
+
 def lower_median(values: Column) -> Column:
     """Middle of a sorted array, the lower one of two."""
     s = F.array_sort(values)
@@ -83,4 +105,5 @@ def lower_median(values: Column) -> Column:
 
 
 def kept(n: int, share: float) -> int:
-    return math.ceil(n * share)
+    """How many of ``n`` a share keeps: the nearest number, at least 1."""
+    return max(1, round(n * share))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sonoloom.operators import retrieval, textops
@@ -195,6 +196,20 @@ def prompt_binary_all(t):
     return d.select("vec_id", F.round(1 / (1 + F.exp(-F.col("d") / 0.1)), 6).alias("probability"))
 
 
+# Prompt set of a fixed size: 20 vectors a label, so a row costs the same whatever the table's size.
+_SET = f"""{_UNIT}, p as (select vec_id, label, v from u where v is not null and label is not null qualify row_number() over (partition by label order by vec_id) <= 20),
+s as (select q.vec_id, p.label, row_number() over (partition by q.vec_id order by round(list_dot_product(q.v, p.v), 9) desc, p.vec_id) as place from u q, p where q.v is not null),
+k as (select vec_id, list(label order by label) as l from s where place <= (select greatest(1, round_even(0.2 * count(*), 0)) from p) group by 1)"""
+
+
+@R.add(f"with {_SET} select vec_id, l[(len(l) - 1) // 2 + 1] as lower_median from k")
+def prompt_regression_share_median(t):
+    u = _units(t).where("v is not null")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))
+    p = u.where("label is not null").withColumn("place", place).where("place <= 20")
+    return retrieval.share_median(u, p, 0.2)
+
+
 @R.add("with c as (select label, i, avg(embedding[i]::double) as x from embeddings, range(1, 65) r(i) group by 1, 2) select label, round(sqrt(sum(x * x)), 6) as length, round(max(x), 6) as largest from c group by 1")
 def layout_baseline_mean(t):
     m = retrieval.mean_vector(t.embeddings.select("label", F.transform("embedding", lambda x: x.cast("double")).alias("v")), ["label"], "v")

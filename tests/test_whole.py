@@ -1,9 +1,10 @@
 """Queries that do the whole job where an older one of the same kind keeps to a part of its table."""
 
+import math
 import random
 
 import __spark_entry__ as entry
-from sonoloom.operators import metrics
+from sonoloom.operators import metrics, retrieval
 
 
 def test_word_counts_all_languages(spark, tmp_path):
@@ -30,6 +31,15 @@ def test_prompts_score_every_row(spark, tmp_path):
     assert sorted(r.vec_id for r in entry.queries()["prompt_binary_all"](spark, str(tmp_path)).collect()) == list(range(60))
 
 
+def test_regression_takes_a_share_of_the_prompts(spark):
+    # 50 prompts, values 0 to 49, less and less like the row: the nearest fifth is 0 to 9, its lower median 4.
+    turn = lambda a: [math.cos(a), math.sin(a)]
+    prompts = spark.createDataFrame([(i, i, turn(i / 50)) for i in range(50)], "vec_id long, label long, v array<double>")
+    row = spark.createDataFrame([(7, turn(0.0))], "vec_id long, v array<double>")
+    assert [tuple(r) for r in retrieval.share_median(row, prompts, 0.2).collect()] == [(7, 4)]
+    assert retrieval.kept(2, 0.2) == 1 and retrieval.kept(2000, 0.2) == 400 and retrieval.kept(12, 0.2) == 2
+
+
 def test_bootstrap_weighs_groups_by_their_rows(spark):
     # 1 row of error 100 and 99 rows of error 0: a resample with one group each has the mean 1, not 50.
     sums = spark.createDataFrame([(0, 100.0, 1), (1, 0.0, 99)], "at long, s double, c long")
