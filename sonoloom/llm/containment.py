@@ -1,12 +1,19 @@
-"""Evaluation passages quoted inside documents (problem 7).
-
-A document leaks an item if it holds at least ``run`` consecutive words of it. Items and
-documents are cut into windows of exactly ``run`` words, so the search runs inside one
-size partition: with both sides of one size, containment and Jaccard similarity agree and
-no MinHash threshold has to be widened for long documents. The MinHash of a window is the
-least hash of its word shingles (five words). Two windows with the same words have the
-same MinHash, hence no leak is lost; windows whose MinHash is that of some item window
-are candidates, and a candidate counts only if its words equal the item's, word by word.
+"""Evaluation passages quoted inside documents (problem 7): size-partitioned MinHash containment search.
+
+A document leaks an item if it holds at least ``run`` consecutive words of it, that is
+``run - shingle + 1`` consecutive shingles. Items are cut into query windows of that many
+shingles, documents into segments of ``STRIDE - 1`` more, every STRIDE words, so that each
+window lies whole inside some segment of a document that quotes it: its containment there
+is 1. With m distinct shingles in the window, the Jaccard similarity of the two is then at
+least m / (m + STRIDE - 1). The windows are partitioned by m; every partition turns its own
+bound into rows per band (the most rows that keep the chance of a miss under MISS), and its
+band keys of PERMUTATIONS MinHash values are joined with those of the segments by a shuffle.
+A candidate counts only if its words stand in the segment, one after the other.
+
+Before the shuffle, band keys of segments are tested against a bitmap of the band keys of
+the windows (a semi-join reduction with a fixed number of bits; a full bitmap lets more rows
+pass and loses none). The corpus is read once for any number of items, and nothing of the
+items but the bitmap goes through the driver.
 """
 
 from __future__ import annotations
@@ -15,18 +22,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sonoloom.llm.frames import frame
-from sonoloom.functions.skew import spread
+from sonoloom.functions.skew import hot_keys, salted_join, spread
 from sonoloom.llm.chars import words
+from sonoloom.llm.frames import frame
+from sonoloom.session import write_scratch
 
 RUN = 13
 SHINGLE = 5
-MAX_WINDOWS = 500_000
+STRIDE = 4
+PERMUTATIONS = 64
+MISS = 1e-6
+BITMAP_BITS = 27
 FLUSH_WORDS = 400_000
+WORD_CACHE = 1_000_000
+# Upper bounds of the size classes of windows, in distinct shingles.
+SIZE_CLASSES = (2, 4, 1 << 30)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX2 = np.uint64(0xBF58476D1CE4E5B9)
+
+
+class WordNumbers(dict):
+    """64-bit number of a word, remembered for up to WORD_CACHE words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        self[word] = out = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return out
 
 
 def shingle_hashes(ids: np.ndarray, size: int) -> np.ndarray:
@@ -36,7 +62,7 @@ def shingle_hashes(ids: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return out
     for k in range(size):
-        out = (out ^ ids[k : k + n].astype(np.uint64)) * _MIX
+        out = (out ^ ids[k : k + n]) * _MIX
         out ^= out >> np.uint64(29)
     return out
 
@@ -51,110 +77,183 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def window_minhash(ids: np.ndarray, run: int = RUN, shingle: int = SHINGLE) -> np.ndarray:
-    """MinHash of the shingles of every window of ``run`` words."""
-    return sliding_min(shingle_hashes(ids, shingle), run - shingle + 1)
-
-
-class ItemIndex:
-    """Windows of a block of items: MinHash values and the exact words behind them."""
-
-    def __init__(self, windows: list[tuple[int, int, str]], run: int, shingle: int):
-        self.run, self.shingle = run, min(shingle, run)
-        self.vocabulary: dict[str, int] = {}
-        self.exact: dict[bytes, list[tuple[int, int]]] = {}
-        signatures = []
-        for item, place, text in windows:
-            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in text.split(" ")], dtype=np.int32)
-            signatures.append(window_minhash(ids, self.run, self.shingle)[0])
-            self.exact.setdefault(ids.tobytes(), []).append((item, place))
-        self.signatures = np.unique(np.array(signatures, dtype=np.uint64))
-
-    def search(self, ids: np.ndarray) -> list[tuple[int, list[tuple[int, int]]]]:
-        """(start, [(item, place)]) of every window of ``ids`` that is a window of an item; 0 stands for a word of no item."""
-        if len(ids) < self.run or not len(self.signatures):
-            return []
-        known = np.concatenate([[0], np.cumsum(ids > 0)])
-        whole = known[self.run :] - known[: -self.run] == self.run
-        at = np.flatnonzero(whole)
-        if not len(at):
-            return []
-        values = window_minhash(ids, self.run, self.shingle)[at]
-        slot = np.minimum(np.searchsorted(self.signatures, values), len(self.signatures) - 1)
-        out = []
-        for i in at[self.signatures[slot] == values]:
-            if hits := self.exact.get(ids[i : i + self.run].tobytes()):
-                out.append((int(i), hits))
-        return out
+def _permutations() -> list[tuple[np.uint32, np.uint32]]:
+    """Odd factor and shift of every permutation of 32-bit numbers."""
+    draw = lambda name, k: np.uint32(xxhash.xxh32_intdigest(f"{name}{k}"))
+    return [(draw("factor", k) | np.uint32(1), draw("shift", k)) for k in range(PERMUTATIONS)]
+
+
+_PERMUTATIONS = _permutations()
+
+
+def signatures(shingles: np.ndarray, width: int, stride: int = 1) -> np.ndarray:
+    """PERMUTATIONS MinHash values (a row each) of the runs of ``width`` shingles, every ``stride``."""
+    low = ((shingles * _MIX2) >> np.uint64(32)).astype(np.uint32)
+    return np.stack([sliding_min(low * a + b, width)[::stride] for a, b in _PERMUTATIONS])
+
+
+def rows_per_band(distinct: int, stride: int = STRIDE) -> int:
+    """Most rows a band may have so that windows of this many distinct shingles are missed with a chance under MISS."""
+    similar = distinct / (distinct + stride - 1)
+    best = 1
+    for r in range(2, 9):
+        if (1 - similar**r) ** (PERMUTATIONS // r) <= MISS:
+            best = r
+    return best
+
+
+def size_classes(width: int, stride: int = STRIDE) -> list[tuple[int, int, int]]:
+    """(least, most distinct shingles, rows per band) of each size class up to ``width``."""
+    out, low = [], 1
+    for high in SIZE_CLASSES:
+        high = min(high, width)
+        if low <= high:
+            out.append((low, high, rows_per_band(low, stride)))
+            low = high + 1
+    return out
+
 
+def band_keys(values: np.ndarray, rows: int) -> np.ndarray:
+    """Key of every band (a row each) of signatures; keys of other numbers of rows or bands never meet."""
+    out = []
+    for band in range(len(values) // rows):
+        key = np.full(values.shape[1], band * 16 + rows, dtype=np.uint64)
+        for v in values[band * rows : (band + 1) * rows]:
+            key = (key ^ v) * _MIX
+            key ^= key >> np.uint64(31)
+        out.append(key)
+    return np.stack(out) if out else np.zeros((0, values.shape[1]), dtype=np.uint64)
+
+
+def _positions(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two places of every key in a bitmap of 2**bits bits."""
+    shift = np.uint64(64 - bits)
+    return keys >> shift, (keys * _MIX2) >> shift
+
+
+class KeyFilter:
+    """Bitmap of band keys, and the rows per band that any window uses."""
+
+    def __init__(self, bits: int, word: np.ndarray, mask: np.ndarray, rows: list[int]):
+        packed = np.zeros(1 << (bits - 6), dtype=np.int64)
+        packed[word] = mask
+        self.n_bits, self.bits, self.rows = bits, packed.view(np.uint8), rows
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """True where a key may be one of the windows'."""
+        out = None
+        for at in _positions(keys, self.n_bits):
+            hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1
+            out = hit if out is None else out & hit
+        return out.astype(bool)
+
+
+def _window_rows(run: int, size: int):
+    width = run - size + 1
 
-def _window_rows(run: int):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number, classes = WordNumbers(), size_classes(width)
         for pdf in batches:
             out = []
             for item, text in zip(pdf["id"], pdf["text"]):
                 w = words(text) if text else []
-                out += [(item, k, " ".join(w[k : k + run]), len(w) - run + 1) for k in range(len(w) - run + 1)]
-            yield frame(out, ["item", "place", "window", "n"])
+                if len(w) < run:
+                    continue
+                shingles = shingle_hashes(np.array([number[x] for x in w], dtype=np.uint64), size)
+                values = signatures(shingles, width)
+                keys = {r: band_keys(values, r) for _, _, r in classes}
+                for k in range(len(w) - run + 1):
+                    m = len(set(shingles[k : k + width].tolist()))
+                    r = next(r for low, high, r in classes if low <= m <= high)
+                    out.append((item, k, " ".join(w[k : k + run]), len(w) - run + 1, r, keys[r][:, k].view(np.int64).tolist()))
+            yield frame(out, ["item", "place", "window", "n", "band_rows", "keys"])
 
     return rows
 
 
-def _search_rows(held):
+def _segment_rows(held, run: int, size: int):
+    width = run - size + STRIDE
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index: ItemIndex = held.value
-        number = index.vocabulary.get
-
-        def flush(ids, ends, docs):
-            hits: dict[tuple[int, int], set[int]] = {}
-            owner = np.array(ends)
-            for start, found in index.search(np.array(ids, dtype=np.int32)):
-                doc = docs[int(np.searchsorted(owner, start, side="right"))]
-                for item, place in found:
-                    hits.setdefault((doc, item), set()).add(place)
-            return frame([(d, i, len(s)) for (d, i), s in hits.items()], ["doc_id", "item_id", "n_shared"])
+        known: KeyFilter = held.value
+        number = WordNumbers()
+
+        def flush(tokens: list[str], ends: list[int], docs: list[int]) -> pd.DataFrame:
+            out: list[tuple] = []
+            # Texts are padded to whole segments, so a segment starts every STRIDE words of the block.
+            shingles = shingle_hashes(np.array([number[x] for x in tokens], dtype=np.uint64), size)
+            if known.rows and len(shingles) >= width:
+                values, owner = signatures(shingles, width, STRIDE), np.array(ends)
+                passed: dict[int, list[int]] = {}
+                for r in known.rows:
+                    keys = band_keys(values, r)
+                    band, place = np.nonzero(known.has(keys))
+                    for s, k in zip(place.tolist(), keys[band, place].view(np.int64).tolist()):
+                        passed.setdefault(s, []).append(k)
+                for s, k in passed.items():
+                    at = s * STRIDE
+                    out.append((docs[int(np.searchsorted(owner, at, side="right"))], " ".join(tokens[at : at + width + size - 1]).strip(), k))
+            return frame(out, ["doc_id", "segment", "keys"])
 
         for pdf in batches:
-            ids, ends, docs = [], [], []
+            tokens, ends, docs = [], [], []
             for doc, text in zip(pdf["id"], pdf["text"]):
-                if text:
-                    ids += [number(w, 0) for w in words(text)]
-                    ids.append(0)
-                    ends.append(len(ids))
-                    docs.append(doc)
-                    if len(ids) >= FLUSH_WORDS:
-                        yield flush(ids, ends, docs)
-                        ids, ends, docs = [], [], []
-            yield flush(ids, ends, docs)
+                w = words(text) if text else []
+                if len(w) < run:
+                    continue
+                tokens += w
+                # Empty words up to the next start of a segment, and enough of them that no window crosses into the next text.
+                tokens += [""] * (STRIDE - len(w) % STRIDE + STRIDE * -(-(width + size) // STRIDE))
+                ends.append(len(tokens))
+                docs.append(doc)
+                if len(tokens) >= FLUSH_WORDS:
+                    yield flush(tokens, ends, docs)
+                    tokens, ends, docs = [], [], []
+            yield flush(tokens, ends, docs)
 
     return rows
 
 
-def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN, shingle: int = SHINGLE, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
+def _filter_of(windows: DataFrame, bits: int) -> KeyFilter:
+    """Bitmap of the band keys of ``windows``; at most 2**(bits - 6) words of 64 bits come to the driver."""
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = np.unique(np.concatenate([np.asarray(k, dtype=np.int64) for k in pdf["keys"]] or [np.zeros(0, np.int64)])).view(np.uint64)
+            yield pd.DataFrame({"place": np.unique(np.concatenate(_positions(keys, bits))).astype(np.int64)})
+
+    words = windows.select("keys").mapInPandas(places, "place long").groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("mask")).toPandas()
+    return KeyFilter(bits, words["word"].to_numpy(dtype=np.int64), words["mask"].to_numpy(dtype=np.int64), sorted(r.band_rows for r in windows.select("band_rows").distinct().collect()))
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN, shingle: int = SHINGLE, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", bits: int = BITMAP_BITS) -> DataFrame:
     """doc_id, item_id, n_shared (windows of the item found in the document), containment (their share of the item's).
 
     Defined cases: null, blank and shorter texts than ``run`` words hold and leak nothing;
     a document that quotes an item twice gives one row; repeated documents each give
-    theirs; other columns are ignored; long texts are searched whole.
+    theirs; other columns are ignored; long texts are searched whole. A window is missed
+    with a chance under MISS; a longer quotation has more than one.
 
-    The items are the query set: their windows go to the executors in blocks of at most
-    MAX_WINDOWS windows, and every block is searched in all documents, so neither the
-    number of items nor their length is bounded by memory.
+    Segments that many documents share are searched once: candidates are made for distinct
+    segments and distinct windows, and both are joined back with salts for hot ones.
     """
-    spark = docs.sparkSession
-    windows = items.select(F.col(item_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInPandas(
-        _window_rows(run), "item long, place int, window string, n int"
-    ).dropDuplicates(["item", "place", "window"])
-    sizes = windows.groupBy("item").agg(F.max("n").alias("n_windows"))
-    blocks = max(1, -(-windows.count() // MAX_WINDOWS))
-    rows = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")), "id")
-    found = None
-    for k in range(blocks):
-        part = windows if blocks == 1 else windows.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == k)
-        held = spark.sparkContext.broadcast(ItemIndex([(r.item, r.place, r.window) for r in part.select("item", "place", "window").toLocalIterator()], run, shingle))
-        one = rows.mapInPandas(_search_rows(held), "doc_id long, item_id long, n_shared long")
-        found = one if found is None else found.unionByName(one)
-    merged = found.groupBy("doc_id", "item_id").agg(F.sum("n_shared").alias("n_shared")) if blocks > 1 else found
-    return merged.join(sizes.withColumnRenamed("item", "item_id"), "item_id").select(
-        "doc_id", "item_id", "n_shared", F.least(F.lit(1.0), F.col("n_shared") / F.col("n_windows")).alias("containment")
-    )
+    size = min(shingle, run)
+    texts = lambda df, key: df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    windows = write_scratch(texts(items, item_id).mapInPandas(_window_rows(run, size), "item long, place int, window string, n int, band_rows int, keys array<long>"), "windows")
+    held = docs.sparkSession.sparkContext.broadcast(_filter_of(windows, bits))
+    found = spread(texts(docs, doc_id), "id").mapInPandas(_segment_rows(held, run, size), "doc_id long, segment string, keys array<long>")
+    segments = write_scratch(found, "segments")
+
+    # Distinct segments meet distinct windows on equal band keys.
+    seg_keys = segments.groupBy("segment").agg(F.first("keys").alias("keys")).select("segment", F.explode("keys").alias("key"))
+    win_keys = windows.groupBy("window").agg(F.first("keys").alias("keys")).select("window", F.explode("keys").alias("key"))
+    met = salted_join(seg_keys, win_keys, "key", hot_keys(seg_keys, "key"), F.col("segment")).select("segment", "window").distinct()
+    pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
+    held_in = met.where(F.contains(pad("segment"), pad("window")))
+
+    members = windows.select("window", F.col("item").alias("item_id"), "place", "n").distinct()
+    hits = salted_join(members, held_in, "window", hot_keys(members, "window"), F.struct("item_id", "place")).select("segment", "item_id", "place", "n")
+    rows = segments.select("doc_id", "segment")
+    pairs = salted_join(rows, hits, "segment", hot_keys(rows, "segment"), F.col("doc_id")).select("doc_id", "item_id", "place", "n").distinct()
+    counted = pairs.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.max("n").alias("n"))
+    return counted.select("doc_id", "item_id", "n_shared", F.least(F.lit(1.0), F.col("n_shared") / F.col("n")).alias("containment"))

@@ -69,12 +69,24 @@ def test_leaks_brute_force(spark):
     assert containment.leaked_items(docs(spark, texts), item_df.limit(0)).count() == 0
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+def test_size_classes_and_repeated_words(spark):
+    assert containment.size_classes(9)[-1] == (5, 9, 2) and all(r == 1 for low, _, r in containment.size_classes(9) if low < 5)
+    items = ["tic " * 20, "tic tac " * 12, "one two three " * 8, " ".join(f"t{k}" for k in range(40))]
+    texts = ["x " + "tic " * 13 + "y", "tic " * 12, "tac tic " * 7, "two three one " * 9, " ".join(f"t{k}" for k in range(7, 20)), " ".join(f"t{k}" for k in range(7, 19))]
+    item_df = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = lambda **more: {(r.doc_id, r.item_id): (r.n_shared, round(r.containment, 3)) for r in containment.leaked_items(docs(spark, texts), item_df, **more).collect()}
+    got = found()
+    assert set(got) == {(0, 0), (2, 1), (3, 2), (4, 3)} and got[4, 3] == (1, round(1 / 28, 3))
+    # A full bitmap only lets more band keys pass.
+    assert found(bits=6) == got
+
+
+def test_segments_of_another_run(spark):
     items = spark.createDataFrame([(i, " ".join(f"t{i}x{k}" for k in range(20))) for i in range(12)], "item_id long, text string")
-    texts = [" ".join(f"t{i}x{k}" for k in range(i % 8, 20)) for i in range(12)]
-    one = {tuple(r) for r in containment.leaked_items(docs(spark, texts), items).collect()}
-    monkeypatch.setattr(containment, "MAX_WINDOWS", 20)
-    assert {tuple(r) for r in containment.leaked_items(docs(spark, texts), items).collect()} == one and len(one) == 12
+    texts = [" ".join(f"t{i}x{k}" for k in range(i, 20)) for i in range(12)]
+    for run in (4, 10):
+        got = {(r.doc_id, r.item_id) for r in containment.leaked_items(docs(spark, texts), items, run).collect()}
+        assert got == {(i, i) for i in range(12) if 20 - i >= run}
 
 
 CASES = [
