@@ -1,6 +1,7 @@
 import itertools
 import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -88,7 +89,7 @@ def test_eval_set_pairs_and_fractions(spark):
     stills = spark.createDataFrame([], "still_row long, still_id string, split string, source string, pixel_hash string")
     got = {tuple(r) for r in overlap.cross_split_pairs(df, stills).collect()}
     assert got == {("study", 1, 2), ("patient", 1, 3), ("study", 6, 7)}
-    part = {(r.kind, r.id): round(r.overlap, 3) for r in overlap.overlap_fractions(overlap.record_chunks(overlap.eval_set_records(df))).collect()}
+    part = {(r.kind, r.id): round(r.overlap, 3) for r in overlap.Overlap(overlap.eval_set_records(df)).fractions().collect()}
     assert part["study", 2] == 0.5 and part["patient", 3] == 0.5 and part["study", 7] == 1.0 and part["study", 3] == 0.0
     assert overlap.overlap_report(df, stills).count() > 0
 
@@ -97,9 +98,49 @@ def test_chunks_realign_after_an_insertion():
     rng = random.Random(6)
     text = "".join(rng.choice("abcdefghij") for _ in range(6000))
     a, b = overlap.chunks(text), overlap.chunks("zz" + text)
-    assert "".join(a) == text and "".join(b) == "zz" + text
-    assert len(set(a) & set(b)) > 0.8 * len(a) > 10
-    assert overlap.chunks("") == [] and overlap.chunks("short") == ["short"]
+    assert b"".join(a).decode() == text and b"".join(b).decode() == "zz" + text
+    assert len(set(a) & set(b)) > 0.8 * len(set(a)) > 10
+    assert overlap.chunks("") == [] and overlap.chunks("abc") == [b"abc"] and len(overlap.chunks("9.77.11.20210425.100342741")) > 1
+
+
+def test_near_same_fields_brute_force(spark):
+    rng = random.Random(14)
+    base = ["".join(rng.choice("abcdefgh 0123") for _ in range(rng.choice([12, 40, 300]))) for _ in range(25)]
+    texts = []
+    for i in range(120):
+        t = rng.choice(base)
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            k = rng.randrange(len(t))
+            t = t[:k] + rng.choice(["", "z", "qq"]) + t[k + 1 :]
+        texts.append((i, rng.random() < 0.5, "text", [t, None, ""]))
+    df = spark.createDataFrame(texts, "id long, eval_side boolean, kind string, fields array<string>")
+
+    def share(a, b):
+        x, y = Counter(overlap.chunks(a)), Counter(overlap.chunks(b))
+        return sum(len(c) * n for c, n in (x & y).items()) / max(len(a), len(b))
+
+    for least in (1.0, 0.8, 0.5):
+        got = {(r.id_a, r.id_b) for r in overlap.Overlap(df, least).pairs().collect()}
+        want = {(a[0], b[0]) for a, b in itertools.combinations(texts, 2) if a[1] != b[1] and (a[3][0] == b[3][0] or 1 > share(a[3][0], b[3][0]) >= least)}
+        assert got == want and want, least
+
+
+def test_every_cut_of_fingerprints_is_exact(spark):
+    rng = random.Random(15)
+    assert [sum(b for b, _ in cut) for cut in overlap._CUTS] == [128] * 3 and all(sum(c + 1 for _, c in cut) > overlap.MAX_FLIPPED for cut in overlap._CUTS)
+    assert [overlap._CUTS.index(overlap.block_cut(10**k, 10**k)) for k in (4, 6, 8, 10)] == [0, 0, 1, 2]
+    rows = []
+    for i in range(12):
+        p = rng.getrandbits(128)
+        rows.append((2 * i, f"{p:032x}", "train"))
+        for b in rng.sample(range(128), 12 + i % 2):
+            p ^= 1 << b
+        rows.append((2 * i + 1, f"{p:032x}", "val"))
+    df = overlap.fingerprints(spark.createDataFrame(rows, "still_row long, pixel_hash string, split string"))
+    for cut in overlap._CUTS:
+        keys = [set(r.k) for r in df.where("not eval_side").select(overlap._keys(cut, False).alias("k")).collect()]
+        assert all(len(k) == len(cut) for k in keys) and sum(len(a & b) for a, b in itertools.combinations(keys, 2)) <= 1
+        assert {tuple(r) for r in overlap.near_print_pairs(df, cut=cut).collect()} == {(2 * i, 2 * i + 1) for i in range(0, 12, 2)}
 
 
 def brute_components(edges):
