@@ -6,39 +6,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SUPPORT = 1e-3
-FANOUT = 32
+LEAST_SUPPORT = 1e-4
+SALTS_PER_PARTITION = 2
 
 
-def hot_keys(df: DataFrame, key: str, support: float = SUPPORT) -> list[str]:
-    """Every key that holds more than ``support`` of the rows, perhaps with some that hold less.
+def hot_keys(df: DataFrame, key: str, support: float | None = None) -> dict[str, int]:
+    """Every key that holds more than ``support`` of the rows, with the number of salts it is spread over.
 
-    One scan with a map-side frequent-items sketch. The answer has at most ``1 / support``
-    keys at any input size; it is taken to the driver once so that all users of the list
-    see the same keys even if tasks run again.
+    One scan with a map-side frequent-items sketch that counts. ``support`` is a mean
+    shuffle partition, within LEAST_SUPPORT and SUPPORT, so the answer has at most 10,000
+    keys at any input size; it goes to the driver once so that all users of the list see the
+    same keys even if tasks run again. The salts follow the key's count: each holds at most
+    1 / SALTS_PER_PARTITION of a mean shuffle partition (rounded up to a power of two).
     """
-    found = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("k")).stat.freqItems(["k"], support)
-    rows = found.select(F.explode("k_freqItems").alias("k")).collect()
-    return sorted({r.k for r in rows if r.k is not None})
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if support is None:
+        support = max(LEAST_SUPPORT, min(SUPPORT, 1.0 / partitions))
+    most = min(10_000, int(1 / support) + 1)
+    got = df.select(F.col(key).cast("string").alias("k")).agg(F.count("k").alias("n"), F.expr(f"approx_top_k(k, {most}, {10 * most})").alias("top")).first()
+    hot = {}
+    for item in got["top"] or []:
+        if item["item"] is not None and item["count"] > support * got["n"]:
+            need = SALTS_PER_PARTITION * partitions * item["count"] / got["n"]
+            hot[item["item"]] = max(2, 1 << (max(1, int(need)) - 1).bit_length())
+    return hot
 
 
-def is_hot(key: Column, hot: list[str]) -> Column:
-    return key.cast("string").isin(hot) if hot else F.lit(False)
+def is_hot(key: Column, hot: dict[str, int]) -> Column:
+    return key.cast("string").isin(sorted(hot)) if hot else F.lit(False)
 
 
-def spread_salt(key: Column, hot: list[str], by: Column, fanout: int = FANOUT) -> Column:
-    """Salt of the large side: 0 for usual keys, a hash of ``by`` modulo ``fanout`` for hot ones."""
-    return F.when(is_hot(key, hot), F.pmod(F.xxhash64(by), F.lit(fanout)).cast("int")).otherwise(F.lit(0))
+def salts(key: Column, hot: dict[str, int]) -> Column:
+    """Number of salts of a key; 1 for usual ones."""
+    out = F.lit(1)
+    for fanout in sorted(set(hot.values())):
+        out = F.when(key.cast("string").isin(sorted(k for k, f in hot.items() if f == fanout)), F.lit(fanout)).otherwise(out)
+    return out
 
 
-def copy_salts(key: Column, hot: list[str], fanout: int = FANOUT) -> Column:
+def spread_salt(key: Column, hot: dict[str, int], by: Column) -> Column:
+    """Salt of the large side: 0 for usual keys, a hash of ``by`` modulo the key's salts for hot ones."""
+    return F.when(is_hot(key, hot), F.pmod(F.xxhash64(by), salts(key, hot)).cast("int")).otherwise(F.lit(0)) if hot else F.lit(0)
+
+
+def copy_salts(key: Column, hot: dict[str, int]) -> Column:
     """Array of the salts that the other side needs a copy for."""
-    return F.when(is_hot(key, hot), F.sequence(F.lit(0), F.lit(fanout - 1))).otherwise(F.array(F.lit(0)))
+    return F.when(is_hot(key, hot), F.sequence(F.lit(0), salts(key, hot) - 1)).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
 
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list[str], by: Column, how: str = "inner", fanout: int = FANOUT) -> DataFrame:
-    """Equi-join on ``key`` in which ``left`` may hold hot keys; ``by`` tells its rows apart."""
-    a = left.withColumn("_salt", spread_salt(F.col(key), hot, by, fanout))
-    b = right.withColumn("_salt", F.explode(copy_salts(F.col(key), hot, fanout)))
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: dict[str, int], by: Column, how: str = "inner") -> DataFrame:
+    """Equi-join on ``key`` in which ``left`` may hold hot keys; ``by`` tells its rows apart. Without hot keys a plain join."""
+    if not hot:
+        return left.join(right, key, how)
+    a = left.withColumn("_salt", spread_salt(F.col(key), hot, by))
+    b = right.withColumn("_salt", F.explode(copy_salts(F.col(key), hot)))
     return a.join(b, [key, "_salt"], how).drop("_salt")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoloom.functions.ids import path_key, study_key
-from sonoloom.functions.skew import SUPPORT, copy_salts, hot_keys, spread_salt
+from sonoloom.functions.skew import copy_salts, hot_keys, spread_salt
 
 FOREVER = "9999-12-31 23:59:59"
 EVER = "0001-01-01 00:00:00"
@@ -22,7 +22,7 @@ def _ts(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, support: float = SUPPORT) -> DataFrame:
+def orphan_references(refs: DataFrame, parents: DataFrame, support: float | None = None) -> DataFrame:
     """Orphans among ``refs`` with the reason.
 
     refs: ref_table, ref_field, ref_row, domain, key, at. parents: domain, key,

@@ -45,9 +45,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def write_scratch(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+    """Cut the lineage: write ``df`` to the shared folder and read it back. What is not dropped before goes when the driver ends."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(p)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
