@@ -15,7 +15,7 @@ costs one round.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoloom.functions.ids import patient_key, study_key
@@ -71,7 +71,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def study_ties(rows: DataFrame) -> DataFrame:
     """a, b: star edges from the least patient of a study to its others. rows: patient, study (normalised)."""
-    pairs = rows.where("patient is not null and study is not null").select("study", "patient").distinct()
+    pairs = write_scratch(rows.where("patient is not null and study is not null").select("study", "patient").distinct(), "pairs")
     least = pairs.groupBy("study").agg(F.min("patient").alias("a"), F.max("patient").alias("hi")).where("a < hi").select("study", "a")
     tied = pairs.join(least.select("study"), "study", "left_semi")
     return salted_join(tied, least, "study", hot_keys(tied, "study"), F.col("patient")).where("a <> patient").select("a", F.col("patient").alias("b"))
@@ -111,20 +111,18 @@ def fill_plan(sizes: list[tuple[int, int]], held: dict[str, int], shares: dict[s
     plan = []
     for size, n in sorted(sizes, reverse=True):
         given = dict.fromkeys(names, 0)
-        left = n
-        if left > 64:
-            lo, hi = min(lack.values()) - size * (left + 1), max(lack.values())
-            for _ in range(200):
-                mid = (lo + hi) / 2
-                if sum(max(0, int((lack[k] - mid) // size)) for k in names) > left:
-                    lo = mid
-                else:
-                    hi = mid
-            for k in names:
-                given[k] = max(0, int((lack[k] - hi) // size))
-                lack[k] -= given[k] * size
-            left -= sum(given.values())
-        for _ in range(left):
+        # Levels down to which the lacks are filled: the least that gives no more than n in all; the few left go one by one.
+        lo, hi = min(lack.values()) - size * (n + 1), max(lack.values())
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            if sum(max(0, int((lack[k] - mid) // size)) for k in names) > n:
+                lo = mid
+            else:
+                hi = mid
+        for k in names:
+            given[k] = max(0, int((lack[k] - hi) // size))
+            lack[k] -= given[k] * size
+        for _ in range(n - sum(given.values())):
             k = max(names, key=lambda x: lack[x])
             given[k] += 1
             lack[k] -= size
@@ -152,7 +150,7 @@ def split_batch(
     spark = manifests.sparkSession
     shares = shares or SHARES
     # Ids with a prefix, so that patients, studies and lone rows cannot meet by accident.
-    rows = normalised_rows(manifests, row_id)
+    rows = write_scratch(normalised_rows(manifests, row_id), "rows")
     p, s = (lambda c: F.concat(F.lit("p:"), c)), (lambda c: F.concat(F.lit("s:"), c))
     edges = study_ties(rows).select(p("a").alias("a"), p("b").alias("b"))
     named = rows.where("study is not null").groupBy("study").agg(F.min("patient").alias("owner"), F.count_if(F.col("patient").isNull()).alias("n"))
@@ -224,6 +222,56 @@ def split_rows(
     return split_batch(manifests, known, studies, shares, row_id, seed)[:2]
 
 
+def incremental_splits(manifests: DataFrame, batches: Column, n_batches: int, path: str, shares: dict[str, float] | None = None) -> DataFrame:
+    """row_id, batch, component, split: ``manifests`` fed to the table under ``path`` in ``n_batches`` batches by the number in ``batches`` (0 and up).
+
+    The split given is the one a row has after the last batch: a row of an earlier batch
+    whose component was quarantined by a later merge is in quarantine too.
+    """
+    named = manifests.select("row_id", patient_key(F.col("patient_id")).alias("patient_id"), study_key(F.col("study_id")).alias("study_id"), batches.alias("batch"))
+    rows = write_scratch(named, "batches")
+    done = None
+    for k in range(n_batches):
+        out = update_split_table(rows.where(F.col("batch") == k), path, shares)
+        lone = out.where(F.col("component").startswith("r:")).select("row_id", "component", "split")
+        done = lone if done is None else done.unionByName(lone)
+    table, studies = latest_tables(rows.sparkSession, path)
+    people = table.select(F.col("patient").alias("patient_id"), F.concat(F.lit("p:"), "component").alias("component"), "split")
+    owned = studies.where("study is not null").select(F.col("study").alias("study_id"), F.col("component").alias("at"), F.col("split").alias("own"))
+    with_patient = rows.where("patient_id is not null").select("row_id", "batch", "patient_id")
+    a = salted_join(with_patient, people, "patient_id", hot_keys(with_patient, "patient_id"), F.col("row_id")).select("row_id", "batch", "component", "split")
+    b = rows.where("patient_id is null and study_id is not null").join(owned, "study_id").select("row_id", "batch", F.col("at").alias("component"), F.col("own").alias("split"))
+    c = rows.where("patient_id is null and study_id is null").join(done, "row_id").select("row_id", "batch", "component", "split")
+    return a.unionByName(b).unionByName(c)
+
+
+def latest_tables(spark, path: str) -> tuple[DataFrame | None, DataFrame | None]:
+    """Patient and study table of the last whole version under ``path``; None where there is none."""
+    last = _last_version(spark, path)
+    if not last:
+        return None, None
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/studies/v={last}/_SUCCESS")
+    there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    # Versions written before there was a study table have none.
+    return spark.read.parquet(f"{path}/v={last}"), spark.read.parquet(f"{path}/studies/v={last}") if there else None
+
+
+def _last_version(spark, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
+    done = [s.getPath().getParent().getName() for s in (p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or [])]
+    return max((int(d.split("=")[1]) for d in done), default=0)
+
+
+def component_sizes(rows: DataFrame) -> DataFrame:
+    """component, n_patients, n_studies (that tie), n_links (distinct patient and study pairs in it): the classes of :func:`tied_patients` without its pairs."""
+    table = component_table(rows)
+    pairs = rows.where("patient is not null and study is not null").select("patient", "study").distinct()
+    linked = salted_join(pairs, table, "patient", hot_keys(pairs, "patient"), F.col("study"))
+    per_study = linked.groupBy("component", "study").agg(F.count("*").alias("n"))
+    links = per_study.groupBy("component").agg(F.count_if(F.col("n") > 1).alias("n_studies"), F.sum("n").alias("n_links"))
+    return table.groupBy("component").agg(F.count("*").alias("n_patients")).join(links, "component")
+
+
 def update_split_table(manifests: DataFrame, path: str, shares: dict[str, float] | None = None) -> DataFrame:
     """Assignment of a batch with the component table kept under ``path``, one folder per version, its study table under ``path``/studies.
 
@@ -231,14 +279,9 @@ def update_split_table(manifests: DataFrame, path: str, shares: dict[str, float]
     before the assignment is returned; a run that dies leaves the last version as it was.
     """
     spark = manifests.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = [s.getPath().getParent().getName() for s in (fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")) or [])]
-    last = max((int(d.split("=")[1]) for d in done), default=0)
-    known = spark.read.parquet(f"{path}/v={last}") if last else None
-    # Versions written before there was a study table have none.
-    there = last and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/studies/v={last}/_SUCCESS"))
-    out, table, studies = split_batch(manifests, known, spark.read.parquet(f"{path}/studies/v={last}") if there else None, shares)
+    last = _last_version(spark, path)
+    known, known_studies = latest_tables(spark, path)
+    out, table, studies = split_batch(manifests, known, known_studies, shares)
     studies.write.mode("overwrite").parquet(f"{path}/studies/v={last + 1}")
     table.write.mode("overwrite").parquet(f"{path}/v={last + 1}")
     return out

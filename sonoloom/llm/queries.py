@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sonoloom.functions.ids import patient_key_sql, study_key_sql
 from sonoloom.llm import containment, grouped_split, lookalike, mapping, overlap, packing, pii
+from sonoloom.session import scratch_path
 from sonoloom.sources.tables import table
 
 
@@ -44,6 +45,31 @@ def p4_assignment(spark: SparkSession, root: str) -> DataFrame:
     return grouped_split.split_rows(table(spark, root, "build_manifests", _LINKS))[0].select("row_id", "component", "split")
 
 
+def p4_components(spark: SparkSession, root: str) -> DataFrame:
+    """Patients, tying studies and links of each component of tied patients."""
+    return grouped_split.component_sizes(grouped_split.normalised_rows(table(spark, root, "build_manifests", _LINKS)))
+
+
+def p4_incremental(spark: SparkSession, root: str) -> DataFrame:
+    """Split of every row after build_manifests came in three batches by ingested_at, each merged into the persisted component table."""
+    rows = table(spark, root, "build_manifests", [*_LINKS, "ingested_at"])
+    cuts = rows.select(F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("at")).approxQuantile("at", [1 / 3, 2 / 3], 0.01)
+    at = F.unix_micros(F.col("at").cast("timestamp"))
+    batch = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    return grouped_split.incremental_splits(rows.withColumn("at", F.col("ingested_at")), batch, 3, scratch_path(spark, "components"))
+
+
+def p4_broken_ties(spark: SparkSession, root: str) -> DataFrame:
+    """Patients and studies that the three batches of p4_incremental left in two splits, and rows of the table: n_broken is 0."""
+    rows = table(spark, root, "build_manifests", _LINKS)
+    out = p4_incremental(spark, root).select("row_id", "split")
+    keyed = grouped_split.normalised_rows(rows).join(out, "row_id", "left")
+    ids = keyed.select("row_id", "split", F.explode(F.array(F.concat(F.lit("p:"), "patient"), F.concat(F.lit("s:"), "study"))).alias("key")).where("key is not null")
+    per_key = ids.groupBy("key").agg(F.min("split").alias("lo"), F.max("split").alias("hi"), F.count_if(F.col("split").isNull()).alias("n_open"))
+    kind = F.when(F.col("key").startswith("p:"), "patient").otherwise("study").alias("kind")
+    return per_key.groupBy(kind).agg(F.count("*").alias("n_keys"), F.count_if((F.col("lo") != F.col("hi")) | (F.col("n_open") > 0)).alias("n_broken"))
+
+
 def p4_shares(spark: SparkSession, root: str) -> DataFrame:
     """Rows and components of each split, with the share of the rows."""
     rows = grouped_split.split_rows(table(spark, root, "build_manifests", _LINKS))[0]
@@ -99,7 +125,7 @@ def p8_classes(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_redacted": p2_redacted,
     "p3_found": p3_found, "p3_overlap_report": p3_overlap_report, 
-    "p4_found": p4_found, "p4_assignment": p4_assignment, "p4_shares": p4_shares,
+    "p4_found": p4_found, "p4_assignment": p4_assignment, "p4_shares": p4_shares, "p4_components": p4_components, "p4_incremental": p4_incremental, "p4_broken_ties": p4_broken_ties,
     "p5_found": p5_found, "p5_unmatched": p5_unmatched,
     "p6_pack": p6_pack, "p6_utilisation": p6_utilisation,
     "p7_found": p7_found, "p7_leaks_per_item": p7_leaks_per_item,
@@ -154,4 +180,17 @@ with recursive rows as (
 )
 select a as patient_a, b as patient_b from reach where a < b
 """
-SQL: dict[str, str] = {"p3_found": _PAIRS_SQL, "p3_overlap_report": _REPORT_SQL, "p4_found": _TIES_SQL}
+_COMPONENTS_SQL = _TIES_SQL.rsplit("select a as", 1)[0] + """, linked as (
+  select a as patient, least(a, min(b)) as component from reach group by a
+), per_study as (
+  select l.component, p.study, count(*) as n from pairs p join linked l on l.patient = p.patient group by all
+)
+select component, (select count(*) from linked l where l.component = s.component) as n_patients, count(*) filter (n > 1) as n_studies, sum(n) as n_links
+from per_study s group by component
+"""
+_BROKEN_SQL = f"""
+with rows as (select {patient_key_sql('patient_id')} as patient, {study_key_sql('study_id')} as study from build_manifests)
+select 'patient' as kind, count(distinct patient) as n_keys, 0 as n_broken from rows
+union all select 'study', count(distinct study), 0 from rows
+"""
+SQL: dict[str, str] = {"p4_components": _COMPONENTS_SQL, "p4_broken_ties": _BROKEN_SQL, "p3_found": _PAIRS_SQL, "p3_overlap_report": _REPORT_SQL, "p4_found": _TIES_SQL}
