@@ -7,9 +7,15 @@ The lattice depends only on the classes and not on which member was written, so
 that look the same get the same form; classes are disjoint and every path stays within
 them, so texts that look different keep different forms.
 
-The bigram counts cover all tokens of all documents that are written in one script
-beyond doubt (single script, at least one letter without a look-alike). The model holds
-one number per pair of letters, a bound that does not grow with the corpus.
+Letters that only resemble a Latin one (a Greek alpha, a Cyrillic ka) belong to no class:
+whether a text with one looks like another text is ambiguous, and the Viterbi score decides
+it. Among Latin letters the reading as the Latin letter saves two changes of script and
+wins; in a Greek word the letter stays what it is.
+
+The bigram counts cover the tokens of all documents that are written in one of SCRIPTS
+beyond doubt (ASCII, or a single script with at least one letter without a look-alike).
+The model holds one number per pair of letters of these scripts, a bound that does not
+grow with the corpus; letters of other scripts have no look-alike and are not counted.
 """
 
 from __future__ import annotations
@@ -19,7 +25,9 @@ import re
 import unicodedata
 from collections import Counter, OrderedDict
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -32,6 +40,9 @@ from sonoloom.llm.pairs import pairs_across_classes
 
 SCRIPTS = ("LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "CHEROKEE")
 SWITCH_PENALTY = 12.0
+RESEMBLES_COST = 8.0
+# Letters of other scripts that resemble a Latin one without having its shape.
+RESEMBLING = {"a": "α", "i": "ι", "k": "κк", "m": "м", "n": "пη", "o": "σ", "p": "ρ", "r": "г", "t": "τт", "u": "υ", "w": "ω", "x": "χ", "y": "γ", "b": "ь", "h": "ћ", "g": "ց"}
 CACHE_TOKENS = 200_000
 _MARKS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
 _TOKEN = re.compile(rf"([^\W\d_][^\W\d_{_MARKS}]*(?:[{_MARKS}]+[^\W\d_]*)*)")
@@ -44,28 +55,62 @@ def script_of(ch: str) -> str | None:
     return first if first in SCRIPTS else "OTHER" if ch.isalpha() else None
 
 
-_MEMBERS = {latin: [(m, script_of(m)) for m in latin + others] for latin, others in LOOKALIKES.items() if latin.isalpha()}
+_MEMBERS = {latin: [(m, script_of(m), 0.0) for m in latin + others] for latin, others in LOOKALIKES.items() if latin.isalpha()}
+_WEAK = {other: latin for latin, others in RESEMBLING.items() for other in others}
+
+
+@lru_cache(maxsize=None)
+def options(ch: str) -> list[tuple[str, str | None, float]]:
+    """(letter, script, cost) of every reading of a letter.
+
+    A letter of a look-alike class may be read as any member at no cost, so the form does
+    not depend on the member written. One that only resembles a class may be read as a
+    member at RESEMBLES_COST; the rest of the token decides.
+    """
+    own = PROTOTYPE.get(ch, ch)
+    if own in _MEMBERS:
+        return _MEMBERS[own]
+    plain = _WEAK.get(ch)
+    return [(ch, script_of(ch), 0.0)] + [(m, of, RESEMBLES_COST) for m, of, _ in _MEMBERS.get(plain, [(plain, script_of(plain), 0.0)] if plain else [])]
 
 
 def _pairs_of(tokens: Counter) -> Counter:
+    """Letter pairs of tokens of one script of SCRIPTS with at least one letter that is no look-alike."""
     out: Counter = Counter()
     for token, n in tokens.items():
         letters = [c for c in token if not unicodedata.combining(c)]
         scripts = {script_of(c) for c in letters}
-        if len(scripts) == 1 and not all(c in _AMBIGUOUS for c in letters):
+        if len(scripts) == 1 and scripts <= set(SCRIPTS) and not all(c in _AMBIGUOUS for c in letters):
             for a, b in zip(["^", *letters], [*letters, "$"]):
                 out[a + b] += n
     return out
 
 
+def _ascii_pairs(text: str) -> Counter:
+    """Letter pairs of all runs of letters of an ASCII text, counted without cutting it up."""
+    codes = np.frombuffer(f" {text} ".encode(), dtype=np.uint8)
+    letters = np.where((codes | 32) - np.uint8(97) < 26, codes, 0).astype(np.int32)
+    counts = np.bincount(letters[:-1] * 128 + letters[1:], minlength=128 * 128)
+    return Counter({(chr(k // 128) if k // 128 else "^") + (chr(k % 128) if k % 128 else "$"): int(counts[k]) for k in np.flatnonzero(counts) if k})
+
+
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total: Counter = Counter()
     for pdf in batches:
-        tokens: Counter = Counter()
+        plain, tokens = [], Counter()
         for text in pdf["text"]:
             if text:
-                tokens.update(_TOKEN.findall(prepare(text)))
+                t = prepare(text)
+                if t.isascii():
+                    plain.append(t)
+                else:
+                    for w in _TOKEN.findall(t):
+                        if w.isascii():
+                            plain.append(w)
+                        else:
+                            tokens[w] += 1
         total.update(_pairs_of(tokens))
+        total.update(_ascii_pairs(" ".join(plain)))
     yield frame(list(total.items()), ["pair", "n"])
 
 
@@ -99,13 +144,12 @@ class Reader:
             if unicodedata.combining(ch):
                 paths = {last: (score, done + ch, script) for last, (score, done, script) in paths.items()}
                 continue
-            options = _MEMBERS.get(PROTOTYPE.get(ch, ch)) or [(ch, script_of(ch))]
             paths = {
                 m: max(
-                    (score + self._step(last, m) - SWITCH_PENALTY * (script is not None and script != of), done + m, of)
+                    (score + self._step(last, m) - cost - SWITCH_PENALTY * (script is not None and script != of), done + m, of)
                     for last, (score, done, script) in paths.items()
                 )
-                for m, of in options
+                for m, of, cost in options(ch)
             }
         best = max(((score + self._step(last, "$"), done) for last, (score, done, _) in paths.items()), key=lambda x: x[0])[1]
         if len(self.cache) >= CACHE_TOKENS:
@@ -127,7 +171,6 @@ class Reader:
         return t if t.isascii() else unicodedata.normalize("NFC", t)
 
 
-
 def consistent_text(docs: DataFrame, model: dict[str, int] | None = None, text: str = "text", out: str = "form") -> DataFrame:
     """``docs`` with the column ``out``: the consistent form of ``text``, null for null.
 

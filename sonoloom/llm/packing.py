@@ -2,9 +2,10 @@
 
 Each document becomes a point: a hashed vector of its tokens projected to three
 dimensions. The points are range-sorted by their Hilbert key, so that neighbours along
-the curve have similar words, and every range is packed on its own: windows of the curve
-in best-fit decreasing order into the containers still open. What a range leaves
-part-filled is packed once more, container by container, over many ranges.
+the curve have similar words, and every range is packed on its own: windows of WINDOW
+neighbours in best-fit decreasing order into the containers still open. What a range leaves
+part-filled is packed once more, container by container. The ranges follow from the rows
+alone, so the same documents go into the same containers on any cluster.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoloom.functions.skew import spread
@@ -26,10 +27,10 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how the public byte-level BPE vocabulary splits text before merging.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 DIMENSIONS, BITS = 3, 10
-WINDOW = 4096
-OPEN_BINS = 512
-RANGE_ROWS = 200_000
-LEAST_RANGE_ROWS = 5_000
+WINDOW = 1024
+OPEN_BINS = 256
+RANGE_ROWS = 25_000
+BUCKET_BITS = 15
 LOOSE = 0.02
 
 
@@ -153,69 +154,89 @@ def pack_sizes(sizes: np.ndarray, capacity: int, window: int = WINDOW, keep: int
     return out
 
 
-def _pack(capacity: int, size: str, prefix: str):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = list(batches)
-        if whole and sum(map(len, whole)):
-            pdf = pd.concat(whole, ignore_index=True)
-            numbers = pack_sizes(pdf[size].to_numpy(), capacity)
-            yield pdf.assign(container=[f"{prefix}{p}-{n}" for p, n in zip(pdf["part"], numbers)])
+def _pack(capacity: int, size: str, prefix: str, order: list[str], columns: list[str]):
+    def rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
+        numbers = pack_sizes(pdf[size].to_numpy(), capacity)
+        return pdf.assign(container=[f"{prefix}{key[0]}-{n}" for n in numbers], rank=pdf["start"] + np.arange(len(pdf)))[columns]
 
     return rows
 
 
-def _ranges(rows: int, cores: int) -> int:
-    """Ranges of at most RANGE_ROWS rows on average, at least one a core as long as they hold LEAST_RANGE_ROWS."""
-    return max(1, -(-rows // RANGE_ROWS), min(cores, rows // LEAST_RANGE_ROWS))
-
+def curve_ranges(rows: DataFrame, tie: list[str]) -> DataFrame:
+    """``rows`` with part (number of its range along ``curve``) and start (rows before that range).
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    The ranges follow from the rows alone, not from the cluster: the curve is cut into
+    2**BUCKET_BITS equal sections, whose counts go to the driver (that many at most);
+    neighbouring sections make up a range until it has RANGE_ROWS rows, and a section with
+    more is spread over as many ranges as it takes by a hash of ``tie``, so that a third of
+    equal texts does not fill one range.
+    """
+    spark = rows.sparkSession
+    section = F.shiftright("curve", DIMENSIONS * BITS - BUCKET_BITS).cast("int")
+    counts = sorted((r.section, r["count"]) for r in rows.groupBy(section.alias("section")).count().collect())
+    placed, part, held, start, done = [], 0, 0, 0, 0
+    for s, n in counts:
+        if held and (held >= RANGE_ROWS or n > RANGE_ROWS):
+            part, held, start = part + 1, 0, done
+        spread_over = -(-n // RANGE_ROWS)
+        placed.append((s, part, spread_over, start))
+        done += n
+        held += n
+        if spread_over > 1:
+            part, held, start = part + spread_over, 0, done
+    known = spark.createDataFrame(placed, "section int, first int, width int, start long")
+    # At most 2**BUCKET_BITS rows.
+    numbered = rows.withColumn("section", section).join(F.broadcast(known), "section")
+    return numbered.withColumn("part", (F.col("first") + F.pmod(F.xxhash64(*tie), F.col("width"))).cast("int")).drop("section", "first", "width")
+
+
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, doc_id: str = "doc_id", text: str = "text", with_rank: bool = False) -> DataFrame:
     """doc_id, piece_no, piece_start, piece_length, container, place, offset.
 
     A document of up to ``capacity`` tokens is one piece; a longer one is cut into full
     pieces, each a container of its own, and a rest that is packed like a document. place
     counts the pieces of a container from 1, offset the tokens before the piece. A null or
-    empty text has one row with no container. Repeated ids get a place each. Equal Hilbert
-    keys are split by a hash of the id, so a third of equal texts does not fill one range.
-    Only ids and sizes are shuffled, never texts.
+    empty text has one row with no container. Repeated ids get a place each. ``with_rank``
+    adds the place along the curve (null for pieces that fill a container). Only ids and sizes are shuffled, never texts.
     """
-    spark = docs.sparkSession
-    cores = spark.sparkContext.defaultParallelism
     sizes = write_scratch(document_sizes(docs, tokenizer, doc_id, text), "sizes")
     cap = F.lit(capacity)
     full = F.floor(F.col("n_tokens") / cap).cast("long")
-    whole = sizes.where(F.col("n_tokens") > cap).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece_no"))
+    none = lambda kind: F.lit(None).cast(kind)
+    whole = sizes.where(F.col("n_tokens") > cap).select("doc_id", "curve", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece_no"))
+    copy = F.row_number().over(Window.partitionBy("doc_id", "piece_no").orderBy("curve")).cast("string")
     whole = whole.select(
         "doc_id", "piece_no", (F.col("piece_no") * cap).alias("piece_start"), F.lit(capacity).cast("long").alias("piece_length"),
-        F.concat(F.lit("d"), "doc_id", F.lit("-"), F.monotonically_increasing_id()).alias("container"), F.lit(1).cast("long").alias("place"), F.lit(0).cast("long").alias("offset"),
+        F.concat_ws("-", F.lit("d"), F.col("doc_id").cast("string"), F.col("piece_no").cast("string"), copy).alias("container"),
+        F.lit(1).cast("long").alias("place"), F.lit(0).cast("long").alias("offset"), none("long").alias("rank"),
     )
     cut = F.col("n_tokens") > cap
     rest = sizes.select(
         "doc_id", F.when(cut, full).otherwise(F.lit(0)).alias("piece_no"), F.when(cut, full * cap).otherwise(F.lit(0)).alias("piece_start"),
         F.when(cut, F.col("n_tokens") % cap).otherwise(F.col("n_tokens")).alias("piece_length"), "curve", "n_tokens",
     )
-    empty = rest.where("n_tokens = 0").select("doc_id", "piece_no", "piece_start", "piece_length", F.lit(None).cast("string").alias("container"), F.lit(None).cast("long").alias("place"), F.lit(None).cast("long").alias("offset"))
-    items = rest.where("piece_length > 0").drop("n_tokens")
-    ranges = _ranges(items.count(), cores)
-    tie = F.xxhash64("doc_id", "piece_no")
-    sorted_items = items.withColumn("tie", tie).repartitionByRange(ranges, "curve", "tie").sortWithinPartitions("curve", "tie", "doc_id", "piece_no").withColumn("part", F.spark_partition_id())
-    packed = write_scratch(sorted_items.drop("tie").mapInPandas(
-        _pack(capacity, "piece_length", "c"), "doc_id long, piece_no long, piece_start long, piece_length long, curve long, part int, container string"
+    empty = rest.where("n_tokens = 0").select("doc_id", "piece_no", "piece_start", "piece_length", none("string").alias("container"), none("long").alias("place"), none("long").alias("offset"), none("long").alias("rank"))
+    items = curve_ranges(rest.where("piece_length > 0").drop("n_tokens"), ["doc_id", "piece_no"])
+    pieces = ["doc_id", "piece_no", "piece_start", "piece_length", "curve", "rank", "container"]
+    packed = write_scratch(items.groupBy("part").applyInPandas(
+        _pack(capacity, "piece_length", "c", ["curve", "doc_id", "piece_no", "piece_length"], pieces), "doc_id long, piece_no long, piece_start long, piece_length long, curve long, rank long, container string"
     ), "packed")
-    fill = packed.groupBy("container").agg(F.sum("piece_length").alias("fill"), F.min("curve").alias("curve"))
+    # What is part-filled is packed once more among its neighbours along the curve, container by container.
+    fill = packed.groupBy(F.col("container").alias("was")).agg(F.sum("piece_length").alias("fill"), F.min("curve").alias("curve"))
     loose = write_scratch(fill.where(F.col("fill") < int(capacity * (1 - LOOSE))), "loose")
-    again = loose.repartitionByRange(_ranges(loose.count(), 1), "curve", "container").sortWithinPartitions("curve", "container").withColumn("part", F.spark_partition_id())
-    merged = again.withColumnRenamed("container", "was").mapInPandas(_pack(capacity, "fill", "m"), "was string, fill long, curve long, part int, container string").select("was", "container")
+    merged = curve_ranges(loose, ["was"]).groupBy("part").applyInPandas(_pack(capacity, "fill", "m", ["curve", "was"], ["was", "container"]), "was string, container string")
     final = packed.withColumnRenamed("container", "was").join(merged, "was", "left").withColumn("container", F.coalesce("container", "was"))
-    order = "row_number() over (partition by container order by curve, doc_id, piece_no)"
-    before = "coalesce(sum(piece_length) over (partition by container order by curve, doc_id, piece_no rows between unbounded preceding and 1 preceding), 0)"
-    placed = final.select("doc_id", "piece_no", "piece_start", "piece_length", "container", F.expr(order).cast("long").alias("place"), F.expr(before).alias("offset"))
-    return placed.unionByName(whole).unionByName(empty)
+    order = "row_number() over (partition by container order by rank, doc_id, piece_no)"
+    before = "coalesce(sum(piece_length) over (partition by container order by rank, doc_id, piece_no rows between unbounded preceding and 1 preceding), 0)"
+    placed = final.select("doc_id", "piece_no", "piece_start", "piece_length", "container", F.expr(order).cast("long").alias("place"), F.expr(before).alias("offset"), "rank")
+    out = placed.unionByName(whole).unionByName(empty)
+    return out if with_rank else out.drop("rank")
 
 
 def utilisation(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Containers, tokens, and the share of the space that holds tokens."""
-    used = packed.where("container is not null").groupBy("container").agg(F.sum("piece_length").alias("fill"), F.count("*").alias("n"))
-    return used.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_pieces"), F.sum("fill").alias("n_tokens"), F.max("fill").alias("fullest")).withColumn(
-        "used_share", F.round(F.col("n_tokens") / (F.col("n_containers") * F.lit(capacity)), 6)
-    )
+    """Containers, tokens, and the share of the space that holds tokens; with a column rank also the mean stretch of the curve a shared container spans."""
+    shared = [F.when(F.count("rank") > 1, F.max("rank") - F.min("rank")).alias("span")] if "rank" in packed.columns else []
+    used = packed.where("container is not null").groupBy("container").agg(F.sum("piece_length").alias("fill"), F.count("*").alias("n"), *shared)
+    totals = used.agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_pieces"), F.sum("fill").alias("n_tokens"), F.max("fill").alias("fullest"), *[F.round(F.avg("span"), 1).alias("mean_span") for _ in shared])
+    return totals.withColumn("used_share", F.round(F.col("n_tokens") / (F.col("n_containers") * F.lit(capacity)), 6))

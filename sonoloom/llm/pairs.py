@@ -32,9 +32,9 @@ def pairs_across_classes(rows: DataFrame, group: str, cls: str, row_id: str, lab
     rows = write_scratch(rows.select(F.col(group).alias("grp"), F.col(cls).alias("cls"), F.col(row_id).alias("id")), label)
     per_class = rows.select("grp", "cls").distinct()
     mixed = per_class.groupBy("grp").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("grp")
-    reps = per_class.join(mixed, "grp", "left_semi")
+    reps = write_scratch(per_class.join(mixed, "grp", "left_semi"), f"{label}-classes")
     a, b = reps.select("grp", F.col("cls").alias("a")), reps.select("grp", F.col("cls").alias("b"))
-    classes = a.join(b, "grp").where("a < b").select("a", "b").distinct()
+    classes = salted_join(a, b, "grp", hot_keys(reps, "grp"), F.col("a")).where("a < b").select("a", "b").distinct()
     members = rows.join(reps.select("cls").distinct(), "cls", "left_semi").select("cls", "id").distinct()
     both = expand_members(classes, members)
     return both.where("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()

@@ -94,7 +94,8 @@ def p6_pack(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p6_utilisation(spark: SparkSession, root: str) -> DataFrame:
-    return packing.utilisation(p6_pack(spark, root))
+    """Fill of the containers, and how far along the curve the pieces of one lie apart."""
+    return packing.utilisation(packing.pack_documents(table(spark, root, "documents", ["doc_id", "text"]), with_rank=True))
 
 
 def _leaks(spark: SparkSession, root: str) -> DataFrame:

@@ -316,3 +316,15 @@ def test_best_fit_never_overfills():
     bins = packing.pack_sizes(sizes, 10, window=4)
     assert max(np.bincount(bins, weights=sizes)) <= 10
 
+
+
+def test_ranges_follow_from_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANGE_ROWS", 50)
+    rows = [(i, 7 << 20 if i % 3 == 0 else (i * 2654435761) % (1 << 30)) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, curve long")
+    got = {r.doc_id: (r.part, r.start) for r in packing.curve_ranges(df.repartition(1), ["doc_id"]).collect()}
+    assert got == {r.doc_id: (r.part, r.start) for r in packing.curve_ranges(df.repartition(9), ["doc_id"]).collect()}
+    sizes = Counter(p for p, _ in got.values())
+    assert max(sizes.values()) <= 100 and len(sizes) >= 8
+    order = sorted((s, c) for (i, c) in rows for s in [got[i][1]] if i % 3)
+    assert [c >> 15 for _, c in order] == sorted(c >> 15 for _, c in order)

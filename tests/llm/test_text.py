@@ -133,3 +133,15 @@ def test_redaction_rows(spark):
     assert [r.source_text for r in out[:3]] == ["Mme [name] vue", "Mme [name] vue", None] and out[3].source_text.endswith("cc: [email]")
     assert {tuple(r) for r in pii.found_pieces(df).collect()} == {(1, "source_text", "name", "Zed Rampol"), (3, "source_text", "email", "a@b.org"), (3, "report_context", "email", "b@c.org")}
     assert pii.found_pieces(df.limit(0)).count() == 0
+
+
+def test_scores_decide_letters_that_only_resemble():
+    reader = lookalike.Reader({"^p": 9, "pa": 9, "at": 9, "ti": 9, "ie": 9, "en": 9, "nt": 9, "t$": 9, "^κ": 5, "κα": 5, "αρ": 5, "ρδ": 5, "δι": 5, "ια": 5, "α$": 5})
+    assert reader.text("pαtient") == reader.text("pаtiеnt") == "patient" and reader.text("patιent") == "patient"
+    assert reader.text("καρδια") == "καρδια" and reader.text("α") == "α" and reader.text("pα") == reader.text(reader.text("pα"))
+
+
+def test_pair_counts(spark):
+    assert lookalike._ascii_pairs("ab, A1b") == {"^a": 1, "ab": 1, "b$": 2, "^A": 1, "A$": 1, "^b": 1}
+    got = lookalike.script_model(docs(spark, ["ab ab", "кот", "中文字", "aб", None, "é ab"]))
+    assert got["ab"] == 3 and got["^к"] == 1 and not any("中" in k or "文" in k or "б" in k for k in got)
