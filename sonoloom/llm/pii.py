@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,6 +24,7 @@ from sonoloom.llm.frames import frame
 
 THRESHOLD = 0.5
 PLACEHOLDER = "[{}]"
+# Characters before a span in which its caption and context words are sought.
 CONTEXT = 48
 
 
@@ -72,6 +74,12 @@ EMAIL_WORDS = re.compile(
     rf"(?<![{_L}0-9._%+-])({_LOCAL}(?:{_B}(?:dot|point|plus){_B}[{_L}0-9]+)*{_B}(?:at|arobase|chez){_B}{_LABEL}(?:(?:{_B}(?:dot|point){_B}|\.){_LABEL})*{_B}(?:dot|point){_B}[{_L}]{{2,}})(?![{_L}0-9])", re.I
 )
 
+# What every address holds; texts without it are not searched for one.
+_AT_SIGN = re.compile(rf"[@＠]|[\[({{<]{_B}?(?:at|AT|At|arobase|AROBASE|à){_B}?[\])}}>]")
+_DOT_WORD = re.compile(rf"{_B}(?:dot|point){_B}", re.I)
+# What every phone and identity number holds: five digits with at most three other signs between two of them.
+_FIVE_DIGITS = re.compile(r"\d(?:[^\w\n]{0,3}\d){4}")
+
 _SEP = r"[   .\-–/]"
 _EXT = rf"(?:{_B}?,?{_B}?(?:extension|ext\.?|poste|p\.|x|#){_B}?\d{{1,6}}(?!\d))?"
 _NOT_IN = r"(?<![\w+.])(?<!\d[-/])"
@@ -152,6 +160,7 @@ _NAME = re.compile(
     rf"|(?P<one>{_FULLTOK})(?:(?P<comma>,{_B}(?P<given>{_FULLTOK})(?![{_L}])(?!{_B}?\d))|(?P<more>(?:{_B}(?:{_PARTICLE}{_B}?)?{_FULLTOK}|{_B}[{_UP}]\.(?={_B}{_FULLTOK})){{1,3}}))?"
     rf"|(?P<low>{_LOWTOK})(?P<low2>{_B}{_LOWTOK})?"
 )
+_DIGIT = re.compile(r"\d")
 # Stands for each character of an e-mail address while names are sought.
 _MAIL = "\ue000"
 _AFTER_TRIGGER = re.compile(rf"(?<![\w]){_ANNOUNCE}{_B}+(?:{_TITLE}{_B}+)?(?=[{_L}])")
@@ -244,27 +253,42 @@ def _ids(text: str) -> Iterator[Span]:
             before = text[max(0, m.start() - CONTEXT) : m.start()]
             digits = re.sub(r"\D", "", m[0])
             caption = bool(_ID_CAPTION.search(before))
-            proof = kind == "ramq" and health_date(digits) or kind == "nir" and mod97(digits) or kind == "sin" and luhn(digits)
-            score = base + 0.6 * caption + 0.25 * bool(proof) - 0.6 * bool(OTHER_NUMBER.search(before))
+            # A number that carries a check and passes it needs no caption; one that fails it needs more than its form.
+            check = _CHECKS.get(kind)
+            proof = 0.0 if check is None else 0.3 if check(digits) else -0.2
+            score = base + 0.6 * caption + proof - 0.6 * bool(OTHER_NUMBER.search(before))
             yield Span(m.start(), m.end(), "id_number", score)
 
 
+_CHECKS = {"ramq": health_date, "nir": lambda d: len(d) != 15 or mod97(d), "sin": luhn}
+
+
 def find_spans(text: str) -> list[Span]:
     """Personal data of one text, in order, without overlaps."""
-    found = [Span(*m.span(1), "email", 1.0) for p in (EMAIL, EMAIL_WORDS) for m in p.finditer(text)]
-    if any(c.isdigit() for c in text):
+    found = []
+    if _AT_SIGN.search(text):
+        found += [Span(*m.span(1), "email", 1.0) for m in EMAIL.finditer(text)]
+    if _DOT_WORD.search(text):
+        found += [Span(*m.span(1), "email", 1.0) for m in EMAIL_WORDS.finditer(text)]
+    parts, at = [], 0
+    for e in sorted(found):
+        if e.start >= at:
+            parts += [text[at : e.start], _MAIL * (e.end - e.start)]
+            at = e.end
+    masked = "".join([*parts, text[at:]])
+    if _DIGIT.search(text):
         found += [Span(m.start(), m.end(), "address", base) for p, base in ADDRESSES for m in p.finditer(text)]
-        found += _phones(text)
-        found += _ids(text)
-    masked = text
-    for e in [s for s in found if s.kind == "email"]:
-        masked = masked[: e.start] + _MAIL * (e.end - e.start) + masked[e.end :]
+        if _FIVE_DIGITS.search(text):
+            found += _phones(text)
+            found += _ids(text)
     found += _names(masked)
+    # Kept spans do not overlap, so only the neighbours of a new one can.
     kept: list[Span] = []
     for s in sorted((s for s in found if s.score >= THRESHOLD), key=lambda s: (-s.score, s.start - s.end, s.start)):
-        if all(s.end <= k.start or s.start >= k.end for k in kept):
-            kept.append(s)
-    return sorted(kept)
+        k = bisect_left(kept, s.start, key=lambda x: x.start)
+        if (k == 0 or kept[k - 1].end <= s.start) and (k == len(kept) or kept[k].start >= s.end):
+            kept.insert(k, s)
+    return kept
 
 
 def redact(text: str, spans: list[Span]) -> str:

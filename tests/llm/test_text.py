@@ -117,6 +117,19 @@ def test_validators():
     assert pii.health_date("74082103") and not pii.health_date("74132103")
 
 
+def test_checks_confirm_and_reject():
+    assert pii.scan_text("noted 130 692 544 on file")[1] == [("id_number", "130 692 544")]
+    assert pii.scan_text("noted 130 692 545 on file")[1] == []
+    assert pii.scan_text("SIN: 130 692 545 on file")[1] == [("id_number", "130 692 545")]
+    assert pii.scan_text("vu 2 55 08 14 168 025 38 ce jour")[1] and not pii.scan_text("vu 2 55 08 14 168 025 39 ce jour")[1]
+
+
+def test_many_spans_in_one_text():
+    text = "cc: a@b.org, tel. 514 555-0181; " * 3000
+    spans = pii.find_spans(text)
+    assert len(spans) == 6000 and all(a.end <= b.start for a, b in zip(spans, spans[1:]))
+
+
 def test_json_only_changes_pieces():
     source = '{"EF (%)": null, "x\\u00e9": "M. Zed Rampol habite 3 rue des Bois, Valmont \\ud83d\\ude00 \\"tel\\" a@b.org\\n",  "n": 1.50, "a@b.org": "ok"}'
     out, pieces = pii.scan_json(source)
