@@ -37,6 +37,8 @@ STRIDE = 4
 PERMUTATIONS = 64
 MISS = 1e-6
 BITMAP_BITS = 27
+# Windows of an item that follow each other share most band keys; so many make up a block.
+BLOCK = 32
 FLUSH_WORDS = 400_000
 WORD_CACHE = 1_000_000
 # Upper bounds of the size classes of windows, in distinct shingles.
@@ -162,11 +164,16 @@ def _window_rows(run: int, size: int):
                 shingles = shingle_hashes(np.array([number[x] for x in w], dtype=np.uint64), size)
                 values = signatures(shingles, width)
                 keys = {r: band_keys(values, r) for _, _, r in classes}
-                for k in range(len(w) - run + 1):
-                    m = len(set(shingles[k : k + width].tolist()))
-                    r = next(r for low, high, r in classes if low <= m <= high)
-                    out.append((item, k, " ".join(w[k : k + run]), len(w) - run + 1, r, keys[r][:, k].view(np.int64).tolist()))
-            yield frame(out, ["item", "place", "window", "n", "band_rows", "keys"])
+                last = len(w) - run + 1
+                for base in range(0, last, BLOCK):
+                    held, used = set(), set()
+                    for k in range(base, min(base + BLOCK, last)):
+                        m = len(set(shingles[k : k + width].tolist()))
+                        r = next(r for low, high, r in classes if low <= m <= high)
+                        held.update(keys[r][:, k].view(np.int64).tolist())
+                        used.add(r)
+                    out.append((item, base, last, [" ".join(w[k : k + run]) for k in range(base, min(base + BLOCK, last))], sorted(used), sorted(held)))
+            yield frame(out, ["item_id", "base", "n", "windows", "band_rows", "keys"])
 
     return rows
 
@@ -214,16 +221,16 @@ def _segment_rows(held, run: int, size: int):
     return rows
 
 
-def _filter_of(windows: DataFrame, bits: int) -> KeyFilter:
-    """Bitmap of the band keys of ``windows``; at most 2**(bits - 6) words of 64 bits come to the driver."""
+def _filter_of(blocks: DataFrame, bits: int) -> KeyFilter:
+    """Bitmap of the band keys of ``blocks``; at most 2**(bits - 6) words of 64 bits come to the driver."""
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keys = np.unique(np.concatenate([np.asarray(k, dtype=np.int64) for k in pdf["keys"]] or [np.zeros(0, np.int64)])).view(np.uint64)
             yield pd.DataFrame({"place": np.unique(np.concatenate(_positions(keys, bits))).astype(np.int64)})
 
-    words = windows.select("keys").mapInPandas(places, "place long").groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("mask")).toPandas()
-    return KeyFilter(bits, words["word"].to_numpy(dtype=np.int64), words["mask"].to_numpy(dtype=np.int64), sorted(r.band_rows for r in windows.select("band_rows").distinct().collect()))
+    words = blocks.select("keys").mapInPandas(places, "place long").groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("mask")).toPandas()
+    return KeyFilter(bits, words["word"].to_numpy(dtype=np.int64), words["mask"].to_numpy(dtype=np.int64), sorted(r.r for r in blocks.select(F.explode("band_rows").alias("r")).distinct().collect()))
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN, shingle: int = SHINGLE, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", bits: int = BITMAP_BITS) -> DataFrame:
@@ -239,21 +246,25 @@ def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN, shingle: int
     """
     size = min(shingle, run)
     texts = lambda df, key: df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    windows = write_scratch(texts(items, item_id).mapInPandas(_window_rows(run, size), "item long, place int, window string, n int, band_rows int, keys array<long>"), "windows")
-    held = docs.sparkSession.sparkContext.broadcast(_filter_of(windows, bits))
+    blocks = write_scratch(texts(items, item_id).mapInPandas(_window_rows(run, size), "item_id long, base int, n int, windows array<string>, band_rows array<int>, keys array<long>"), "windows")
+    held = docs.sparkSession.sparkContext.broadcast(_filter_of(blocks, bits))
     found = spread(texts(docs, doc_id), "id").mapInPandas(_segment_rows(held, run, size), "doc_id long, segment string, keys array<long>")
     segments = write_scratch(found, "segments")
 
-    # Distinct segments meet distinct windows on equal band keys.
-    seg_keys = segments.groupBy("segment").agg(F.first("keys").alias("keys")).select("segment", F.explode("keys").alias("key"))
-    win_keys = windows.groupBy("window").agg(F.first("keys").alias("keys")).select("window", F.explode("keys").alias("key"))
-    met = salted_join(seg_keys, win_keys, "key", hot_keys(seg_keys, "key"), F.col("segment")).select("segment", "window").distinct()
-    pad = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
-    held_in = met.where(F.contains(pad("segment"), pad("window")))
-
-    members = windows.select("window", F.col("item").alias("item_id"), "place", "n").distinct()
-    hits = salted_join(members, held_in, "window", hot_keys(members, "window"), F.struct("item_id", "place")).select("segment", "item_id", "place", "n")
+    # Numbers of distinct segments and of distinct blocks of windows meet on equal band keys; texts are compared once per pair.
+    number = F.monotonically_increasing_id()
+    segs = write_scratch(segments.groupBy("segment").agg(F.first("keys").alias("keys")).withColumn("sid", number), "distinct-segments")
+    blks = write_scratch(blocks.groupBy("windows").agg(F.first("keys").alias("keys")).withColumn("bid", number), "distinct-windows")
+    seg_keys, blk_keys = segs.select("sid", F.explode("keys").alias("key")), blks.select("bid", F.explode("keys").alias("key"))
+    met = write_scratch(salted_join(seg_keys, blk_keys, "key", hot_keys(seg_keys, "key"), F.col("sid")).select("sid", "bid").distinct(), "met")
+    both = salted_join(met.join(segs.select("sid", "segment"), "sid"), blks.select("bid", "windows"), "bid", hot_keys(met, "bid"), F.col("sid"))
+    text_of = F.concat(F.lit(" "), F.col("segment"), F.lit(" "))
+    inside = F.filter(F.transform("windows", lambda w, k: F.when(F.contains(text_of, F.concat(F.lit(" "), w, F.lit(" "))), k)), lambda k: k.isNotNull())
+    held_in = both.select("segment", "windows", inside.alias("inside")).where(F.size("inside") > 0)
+
+    members = blocks.select("windows", "item_id", "base", "n").distinct()
+    hits = held_in.join(members, "windows").select("segment", "item_id", "base", "n", "inside")
     rows = segments.select("doc_id", "segment")
-    pairs = salted_join(rows, hits, "segment", hot_keys(rows, "segment"), F.col("doc_id")).select("doc_id", "item_id", "place", "n").distinct()
+    pairs = salted_join(rows, hits, "segment", hot_keys(rows, "segment"), F.col("doc_id")).select("doc_id", "item_id", "n", F.explode("inside").alias("k"), "base").select("doc_id", "item_id", "n", (F.col("base") + F.col("k")).alias("place")).distinct()
     counted = pairs.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"), F.max("n").alias("n"))
     return counted.select("doc_id", "item_id", "n_shared", F.least(F.lit(1.0), F.col("n_shared") / F.col("n")).alias("containment"))
