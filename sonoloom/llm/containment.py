@@ -6,8 +6,9 @@ shingles, documents into segments of ``STRIDE - 1`` more, every STRIDE words, so
 window lies whole inside some segment of a document that quotes it: its containment there
 is 1. With m distinct shingles in the window, the Jaccard similarity of the two is then at
 least m / (m + STRIDE - 1). The windows are partitioned by m; every partition turns its own
-bound into rows per band (the most rows that keep the chance of a miss under MISS), and its
-band keys of PERMUTATIONS MinHash values are joined with those of the segments by a shuffle.
+bound into rows per band and bands that must agree (the most that keep the chance of a miss
+under MISS), and its band keys of PERMUTATIONS MinHash values are joined with those of the
+segments by a shuffle.
 A candidate counts only if its words stand in the segment, one after the other.
 
 Before the shuffle, band keys of segments are tested against a bitmap of the band keys of
@@ -19,6 +20,7 @@ items but the bitmap goes through the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -42,7 +44,7 @@ BLOCK = 32
 FLUSH_WORDS = 400_000
 WORD_CACHE = 1_000_000
 # Upper bounds of the size classes of windows, in distinct shingles.
-SIZE_CLASSES = (2, 4, 1 << 30)
+SIZE_CLASSES = (2, 4, 7, 15, 1 << 30)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -104,13 +106,26 @@ def rows_per_band(distinct: int, stride: int = STRIDE) -> int:
     return best
 
 
-def size_classes(width: int, stride: int = STRIDE) -> list[tuple[int, int, int]]:
-    """(least, most distinct shingles, rows per band) of each size class up to ``width``."""
+def least_hits(distinct: int, rows: int, stride: int = STRIDE) -> int:
+    """Most bands that may be asked to agree so that windows of this many distinct shingles are missed with a chance under MISS."""
+    bands, p = PERMUTATIONS // rows, (distinct / (distinct + stride - 1)) ** rows
+    hits, below = 1, (1 - p) ** bands
+    while hits < bands:
+        below += comb(bands, hits) * p**hits * (1 - p) ** (bands - hits)
+        if below > MISS:
+            break
+        hits += 1
+    return hits
+
+
+def size_classes(width: int, stride: int = STRIDE) -> list[tuple[int, int, int, int]]:
+    """(least, most distinct shingles, rows per band, bands that must agree) of each size class up to ``width``."""
     out, low = [], 1
     for high in SIZE_CLASSES:
         high = min(high, width)
         if low <= high:
-            out.append((low, high, rows_per_band(low, stride)))
+            rows = rows_per_band(low, stride)
+            out.append((low, high, rows, least_hits(low, rows, stride)))
             low = high + 1
     return out
 
@@ -134,9 +149,9 @@ def _positions(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class KeyFilter:
-    """Bitmap of band keys, and the rows per band that any window uses."""
+    """Bitmap of band keys; rows per band that any window uses -> bands that must agree at least."""
 
-    def __init__(self, bits: int, word: np.ndarray, mask: np.ndarray, rows: list[int]):
+    def __init__(self, bits: int, word: np.ndarray, mask: np.ndarray, rows: dict[int, int]):
         packed = np.zeros(1 << (bits - 6), dtype=np.int64)
         packed[word] = mask
         self.n_bits, self.bits, self.rows = bits, packed.view(np.uint8), rows
@@ -163,17 +178,17 @@ def _window_rows(run: int, size: int):
                     continue
                 shingles = shingle_hashes(np.array([number[x] for x in w], dtype=np.uint64), size)
                 values = signatures(shingles, width)
-                keys = {r: band_keys(values, r) for _, _, r in classes}
+                keys = {r: band_keys(values, r) for _, _, r, _ in classes}
                 last = len(w) - run + 1
                 for base in range(0, last, BLOCK):
-                    held, used = set(), set()
+                    held, used = set(), {}
                     for k in range(base, min(base + BLOCK, last)):
                         m = len(set(shingles[k : k + width].tolist()))
-                        r = next(r for low, high, r in classes if low <= m <= high)
+                        r, hits = next((r, hits) for low, high, r, hits in classes if low <= m <= high)
                         held.update(keys[r][:, k].view(np.int64).tolist())
-                        used.add(r)
-                    out.append((item, base, last, [" ".join(w[k : k + run]) for k in range(base, min(base + BLOCK, last))], sorted(used), sorted(held)))
-            yield frame(out, ["item_id", "base", "n", "windows", "band_rows", "keys"])
+                        used[r] = min(hits, used.get(r, hits))
+                    out.append((item, base, last, [" ".join(w[k : k + run]) for k in range(base, min(base + BLOCK, last))], used, sorted(held)))
+            yield frame(out, ["item_id", "base", "n", "windows", "bands", "keys"])
 
     return rows
 
@@ -192,9 +207,10 @@ def _segment_rows(held, run: int, size: int):
             if known.rows and len(shingles) >= width:
                 values, owner = signatures(shingles, width, STRIDE), np.array(ends)
                 passed: dict[int, list[int]] = {}
-                for r in known.rows:
+                for r, hits in known.rows.items():
                     keys = band_keys(values, r)
-                    band, place = np.nonzero(known.has(keys))
+                    has = known.has(keys)
+                    band, place = np.nonzero(has & (has.sum(axis=0) >= hits))
                     for s, k in zip(place.tolist(), keys[band, place].view(np.int64).tolist()):
                         passed.setdefault(s, []).append(k)
                 for s, k in passed.items():
@@ -230,7 +246,7 @@ def _filter_of(blocks: DataFrame, bits: int) -> KeyFilter:
             yield pd.DataFrame({"place": np.unique(np.concatenate(_positions(keys, bits))).astype(np.int64)})
 
     words = blocks.select("keys").mapInPandas(places, "place long").groupBy(F.shiftright("place", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("mask")).toPandas()
-    return KeyFilter(bits, words["word"].to_numpy(dtype=np.int64), words["mask"].to_numpy(dtype=np.int64), sorted(r.r for r in blocks.select(F.explode("band_rows").alias("r")).distinct().collect()))
+    return KeyFilter(bits, words["word"].to_numpy(dtype=np.int64), words["mask"].to_numpy(dtype=np.int64), {r.key: r.hits for r in blocks.select(F.explode("bands")).groupBy("key").agg(F.min("value").alias("hits")).collect()})
 
 
 def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN, shingle: int = SHINGLE, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", bits: int = BITMAP_BITS) -> DataFrame:
@@ -246,7 +262,7 @@ def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN, shingle: int
     """
     size = min(shingle, run)
     texts = lambda df, key: df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    blocks = write_scratch(texts(items, item_id).mapInPandas(_window_rows(run, size), "item_id long, base int, n int, windows array<string>, band_rows array<int>, keys array<long>"), "windows")
+    blocks = write_scratch(texts(items, item_id).mapInPandas(_window_rows(run, size), "item_id long, base int, n int, windows array<string>, bands map<int,int>, keys array<long>"), "windows")
     held = docs.sparkSession.sparkContext.broadcast(_filter_of(blocks, bits))
     found = spread(texts(docs, doc_id), "id").mapInPandas(_segment_rows(held, run, size), "doc_id long, segment string, keys array<long>")
     segments = write_scratch(found, "segments")
@@ -254,9 +270,11 @@ def leaked_items(docs: DataFrame, items: DataFrame, run: int = RUN, shingle: int
     # Numbers of distinct segments and of distinct blocks of windows meet on equal band keys; texts are compared once per pair.
     number = F.monotonically_increasing_id()
     segs = write_scratch(segments.groupBy("segment").agg(F.first("keys").alias("keys")).withColumn("sid", number), "distinct-segments")
-    blks = write_scratch(blocks.groupBy("windows").agg(F.first("keys").alias("keys")).withColumn("bid", number), "distinct-windows")
-    seg_keys, blk_keys = segs.select("sid", F.explode("keys").alias("key")), blks.select("bid", F.explode("keys").alias("key"))
-    met = write_scratch(salted_join(seg_keys, blk_keys, "key", hot_keys(seg_keys, "key"), F.col("sid")).select("sid", "bid").distinct(), "met")
+    asked = F.array_min(F.map_values("bands"))
+    blks = write_scratch(blocks.groupBy("windows").agg(F.first("keys").alias("keys"), F.min(asked).alias("hits")).withColumn("bid", number), "distinct-windows")
+    seg_keys, blk_keys = segs.select("sid", F.explode("keys").alias("key")), blks.select("bid", "hits", F.explode("keys").alias("key"))
+    agree = salted_join(seg_keys, blk_keys, "key", hot_keys(seg_keys, "key"), F.col("sid")).groupBy("sid", "bid").agg(F.count("*").alias("n"), F.min("hits").alias("hits"))
+    met = write_scratch(agree.where("n >= hits").select("sid", "bid"), "met")
     both = salted_join(met.join(segs.select("sid", "segment"), "sid"), blks.select("bid", "windows"), "bid", hot_keys(met, "bid"), F.col("sid"))
     text_of = F.concat(F.lit(" "), F.col("segment"), F.lit(" "))
     inside = F.filter(F.transform("windows", lambda w, k: F.when(F.contains(text_of, F.concat(F.lit(" "), w, F.lit(" "))), k)), lambda k: k.isNotNull())
