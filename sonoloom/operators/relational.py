@@ -86,3 +86,65 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, out:
     w = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = a.unionByName(b.select(*a.columns))
     return both.withColumn(out, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*left.columns, out)
+
+
+def validated_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", one: str = "1:1", complete: bool = False) -> DataFrame:
+    """Join that refuses repeated keys: ``1:1`` on both sides, ``m:1`` on the right, ``1:m`` on the left.
+
+    With ``complete`` a left row without a partner is refused too. Null keys meet nothing and
+    are no repeats. The checks are counts of keys; nothing else goes to the driver.
+    """
+    left_one, right_one = {"1:1": (True, True), "m:1": (False, True), "1:m": (True, False)}[one]
+    for name, df, asked in (("left", left, left_one), ("right", right, right_one)):
+        if asked and (n := df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").count()):
+            raise ValueError(f"{n} keys of {key} are repeated on the {name} side")
+    if complete and (n := left.join(right.select(key).where(F.col(key).isNotNull()), key, "left_anti").count()):
+        raise ValueError(f"{n} rows on the left have no partner by {key}")
+    return left.join(right, key, how)
+
+
+def indicator_join(left: DataFrame, right: DataFrame, key: str, out: str = "side") -> DataFrame:
+    """Full outer join with ``out``: both, left_only or right_only."""
+    a, b = left.withColumn("_l", F.lit(1)), right.withColumn("_r", F.lit(1))
+    side = F.when(F.col("_l").isNotNull() & F.col("_r").isNotNull(), "both").when(F.col("_l").isNotNull(), "left_only").otherwise("right_only")
+    return a.join(b, key, "full_outer").withColumn(out, side).drop("_l", "_r")
+
+
+def array_overlap_join(left: DataFrame, right: DataFrame, left_id: str, left_items: str, right_id: str, right_items: str) -> DataFrame:
+    """left_id, right_id, n_shared: rows whose arrays share an item, by an equi-join of the exploded items."""
+    a = left.select(left_id, F.explode(F.array_distinct(left_items)).alias("_item"))
+    b = right.select(right_id, F.explode(F.array_distinct(right_items)).alias("_item"))
+    return a.join(b, "_item").groupBy(left_id, right_id).agg(F.count(F.lit(1)).alias("n_shared"))
+
+
+def holds_all(needed: Column, have: Column) -> Column:
+    """Whether every needed item is there; an empty need always is."""
+    return F.size(F.array_except(needed, F.coalesce(have, F.array().cast("array<string>")))) == 0
+
+
+def boolean_matrix(df: DataFrame, row: str, column: str, names: list[str]) -> DataFrame:
+    """One row per ``row`` and one boolean per name: whether the pair occurs."""
+    return df.groupBy(row).agg(*[F.coalesce(F.bool_or(F.col(column) == n), F.lit(False)).alias(n) for n in names])
+
+
+def flat_leaves(df: DataFrame, key: str, document: str) -> DataFrame:
+    """key, path, leaf of every scalar in a JSON text, objects to any depth; arrays count as leaves, as do texts that are no object.
+
+    Levels are opened one after the other until none is left; a level is one map-only step.
+    """
+    level = df.select(key, F.lit("").alias("path"), F.col(document).alias("leaf"))
+    done = None
+    is_object = F.col("leaf").isNotNull() & F.ltrim("leaf").startswith("{")
+    while not level.where(is_object).isEmpty():
+        flat = level.where(~is_object | F.col("leaf").isNull())
+        done = flat if done is None else done.unionByName(flat)
+        opened = level.where(is_object).select(key, "path", F.explode(F.from_json("leaf", "map<string,string>")).alias("k", "leaf"))
+        level = opened.select(key, F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), F.col("k")).alias("path"), "leaf")
+    return level if done is None else done.unionByName(level)
+
+
+def nested_diff(before: DataFrame, after: DataFrame, key: str, document: str, ignore: tuple[str, ...] = ()) -> DataFrame:
+    """key, path, before, after of the leaves that differ between two versions of a JSON text; null stands for missing."""
+    a = flat_leaves(before, key, document).withColumnRenamed("leaf", "before")
+    b = flat_leaves(after, key, document).withColumnRenamed("leaf", "after")
+    return a.join(b, [key, "path"], "full_outer").where(~F.col("before").eqNullSafe(F.col("after")) & ~F.col("path").isin(*ignore))
