@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoloom.functions.hashing import hash_int
 from sonoloom.functions.ranks import running_sums
+from sonoloom.session import drop_scratch, write_scratch
 
 
 def _pearson(a: Column, b: Column) -> Column:
@@ -82,16 +84,22 @@ def average_precision(df: DataFrame, positive: str, score: str) -> DataFrame:
 
 
 def youden(df: DataFrame, positive: str, score: str, near: float) -> DataFrame:
-    """Threshold (midpoint of neighbouring scores) with the largest sensitivity + specificity - 1; ties go nearest to ``near``."""
+    """Threshold with the largest sensitivity + specificity - 1 of "score above it is positive"; ties go nearest to ``near``.
+
+    Candidates lie midway between neighbouring scores, one below the least and one above the
+    most. Without both classes there is no row.
+    """
     s = _distinct_scores(df, positive, score)
     cum = running_sums(s.withColumn("one", F.lit(1)), "s", [], {"n_upto": "n", "pos_upto": "pos", "r": "one"})
-    totals = s.agg(F.sum("pos").alias("p"), F.sum("n").alias("t")).first()
+    totals = s.agg(F.sum("pos").alias("p"), F.sum("n").alias("t"), F.min("s").alias("lo"), F.max("s").alias("hi")).first()
     p, t = totals.p or 0, totals.t or 0
     following = cum.select((F.col("r") - 1).alias("r"), F.col("s").alias("next"))
     cut = cum.select("r", "s", "n_upto", "pos_upto").join(following, "r")
     j = (F.lit(float(p)) - F.col("pos_upto")) / F.lit(float(p or 1)) + (F.col("n_upto") - F.col("pos_upto")) / F.lit(float((t - p) or 1)) - 1
-    best = cut.select(((F.col("s") + F.col("next")) / 2).alias("threshold"), j.alias("youden_j"))
-    return best.orderBy(F.round("youden_j", 12).desc(), F.abs(F.col("threshold") - near), "threshold").limit(1)
+    between = cut.select(((F.col("s") + F.col("next")) / 2).alias("threshold"), j.alias("youden_j"))
+    ends = df.sparkSession.createDataFrame([] if not p or p == t else [(totals.lo - 1.0, 0.0), (totals.hi + 1.0, 0.0)], "threshold double, youden_j double")
+    both = between.where(F.lit(0 < p < t)).unionByName(ends)
+    return both.orderBy(F.round("youden_j", 12).desc(), F.abs(F.col("threshold") - near), "threshold").limit(1)
 
 
 def confusion(predicted: Column, truth: Column, weight: Column | None = None) -> list[Column]:
@@ -114,29 +122,47 @@ def expected_calibration_error(df: DataFrame, positive: str, probability: str, b
     return b.agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("observed"))) / F.sum("n")).alias("ece"))
 
 
-def calibration_line(df: DataFrame, positive: str, probability: str, eps: float = 1e-6, steps: int = 50) -> tuple[float, float]:
-    """(intercept, slope) of a logistic fit of the label on the logit; five sums per Newton step come to the driver."""
-    p = F.greatest(F.least(F.col(probability), F.lit(1 - eps)), F.lit(eps))
-    rows = df.where(F.col(positive).isNotNull() & F.col(probability).isNotNull()).select(F.col(positive).cast("double").alias("y"), F.log(p / (1 - p)).alias("x")).cache()
-    a, b = 0.0, 1.0
+def calibration_line(df: DataFrame, positive: str, probability: str, eps: float = 1e-6, steps: int = 30) -> tuple[float | None, float | None]:
+    """(intercept, slope) of the logistic curve of the label over the logit of the probability; (None, None) without a finite fit.
+
+    Reweighted least squares on one row per distinct probability, written once. A step that
+    does not lower the deviance is halved; the fit ends when the deviance no longer falls by
+    1e-12 of itself, and has no value if it never gets there or if the classes are separated
+    (fitted probabilities reach the labels). Six sums a step come to the driver.
+    """
+    q = F.greatest(F.least(F.col(probability).cast("double"), F.lit(1 - eps)), F.lit(eps))
+    known = df.where(F.col(positive).isNotNull() & F.col(probability).isNotNull())
+    levels = write_scratch(known.groupBy(F.log(q / (1 - q)).alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(positive).cast("double")).alias("k")), "levels")
+
+    def sums(a: float, b: float) -> tuple:
+        """Weighted sums of the working response, and the deviance, at (a, b)."""
+        z = F.lit(a) + F.lit(b) * F.col("x")
+        # log(1 + exp(z)) without overflow.
+        soft = F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))
+        mu = F.exp(z - soft)
+        w = F.col("n") * mu * (1 - mu)
+        left = F.col("k") - F.col("n") * mu
+        return tuple(levels.agg(F.sum(w), F.sum(w * F.col("x")), F.sum(w * F.col("x") * F.col("x")), F.sum(left), F.sum(left * F.col("x")), 2 * F.sum(F.col("n") * soft - F.col("k") * z), F.sum("n")).first())
+
     try:
+        a, b = 0.0, 1.0
+        now = sums(a, b)
+        if not now[6]:
+            return None, None
         for _ in range(steps):
-            q = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * F.col("x"))))
-            v = q * (1 - q)
-            r = rows.agg(F.sum(F.col("y") - q), F.sum((F.col("y") - q) * F.col("x")), F.sum(v), F.sum(v * F.col("x")), F.sum(v * F.col("x") * F.col("x"))).first()
-            g0, g1, h00, h01, h11 = r
-            det = None if h00 is None else h00 * h11 - h01 * h01
-            if not det or not math.isfinite(det) or abs(det) < 1e-12:
-                return math.nan, math.nan
-            da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
-            a, b = a + da, b + db
-            if max(abs(da), abs(db)) < 1e-10:
-                return a, b
-            if abs(b) > 1e4:
-                return math.nan, math.nan
-        return a, b
+            w, wx, wxx, g, gx, deviance, n = now
+            spread = w * wxx - wx * wx
+            if spread <= 1e-10 * w * wxx or deviance < 1e-6 * n:
+                return None, None
+            da, db, scale = (wxx * g - wx * gx) / spread, (w * gx - wx * g) / spread, 1.0
+            while (then := sums(a + scale * da, b + scale * db))[5] > deviance and scale > 1e-4:
+                scale /= 2
+            if deviance - then[5] <= 1e-12 * deviance:
+                return (a + da, b + db) if scale == 1.0 else (a, b)
+            a, b, now = a + scale * da, b + scale * db, then
+        return None, None
     finally:
-        rows.unpersist()
+        drop_scratch(levels)
 
 
 def bootstrap_means(df: DataFrame, value: str, position: str, n: int, reps: int, seed: str, reps_df: DataFrame) -> DataFrame:
@@ -168,32 +194,85 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return mid - half, mid + half
 
 
-def _binomial_tail(k: int, n: int, p: float) -> float:
-    """P(X <= k) of a binomial variable."""
-    if p <= 0:
-        return 1.0
-    if p >= 1:
-        return 1.0 if k >= n else 0.0
-    return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
-
+_LGAMMA = np.vectorize(math.lgamma, otypes=[float])
+
+
+def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray, terms: int = 400) -> np.ndarray:
+    """Regularised incomplete beta function of arrays, by its continued fraction taken on the side where it converges fast."""
+    x = np.clip(x, 1e-300, 1 - 1e-16)
+    swap = x > (a + 1) / (a + b + 2)
+    x, a, b = np.where(swap, 1 - x, x), np.where(swap, b, a), np.where(swap, a, b)
+    # Convergents by backward evaluation from a fixed depth.
+    f = np.ones_like(x)
+    for m in range(terms // 2, 0, -1):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        f = 1 + even / f
+        k = m - 1
+        odd = -(a + k) * (a + b + k) * x / ((a + 2 * k) * (a + 2 * k + 1))
+        f = 1 + odd / f
+    front = np.exp(a * np.log(x) + b * np.log1p(-x) - np.log(a) + _LGAMMA(a + b) - _LGAMMA(a) - _LGAMMA(b))
+    part = front / f
+    return np.clip(np.where(swap, 1 - part, part), 0.0, 1.0)
+
+
+def beta_quantile(q: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Where the beta distribution reaches ``q``: Newton steps on its density, kept inside a bracket that shrinks."""
+    low, high = np.zeros_like(a), np.ones_like(a)
+    x = (a + 0.3) / (a + b + 0.6)
+    norm = _LGAMMA(a + b) - _LGAMMA(a) - _LGAMMA(b)
+    for _ in range(80):
+        miss = beta_cdf(x, a, b) - q
+        low, high = np.where(miss < 0, x, low), np.where(miss < 0, high, x)
+        density = np.exp(norm + (a - 1) * np.log(x) + (b - 1) * np.log1p(-x))
+        step = x - miss / np.maximum(density, 1e-300)
+        x = np.where((step > low) & (step < high), step, (low + high) / 2)
+    return x
+
+
+def _exact(k: pd.Series, n: pd.Series, q: float, upper: bool) -> pd.Series:
+    """Exact bound of each row: the beta quantile, 0 or 1 at the ends, null without a count."""
+    ok = (k.notna() & n.notna() & (n > 0)).to_numpy()
+    kk, nn = k.fillna(0).to_numpy(dtype=float), n.fillna(1).to_numpy(dtype=float)
+    inner = ok & (kk < nn if upper else kk > 0)
+    out = np.full(len(k), 1.0 if upper else 0.0)
+    if inner.any():
+        a, b = (kk[inner] + 1, nn[inner] - kk[inner]) if upper else (kk[inner], nn[inner] - kk[inner] + 1)
+        out[inner] = beta_quantile(q, a, b)
+    return pd.Series(np.where(ok, out, np.nan)).astype(object).where(ok, None)
+
+
+def _exact_udf(q: float, upper: bool):
+    def run(k: pd.Series, n: pd.Series) -> pd.Series:
+        return _exact(k, n, q, upper)
 
-def _upper(k: int, n: int, alpha: float) -> float:
-    if k >= n:
-        return 1.0
-    lo, hi = 0.0, 1.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if _binomial_tail(k, n, mid) > alpha else (lo, mid)
-    return (lo + hi) / 2
+    return F.pandas_udf(run, "double")
 
 
 def exact_upper(k: Column, n: Column, confidence: float = 0.95) -> Column:
-    """One-sided exact (Clopper-Pearson) upper bound; null when n is 0."""
+    """One-sided exact (Clopper-Pearson) upper bound; null when n is 0 or missing."""
+    return _exact_udf(confidence, True)(k, n)
 
-    def run(k: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([_upper(int(a), int(b), 1 - confidence) if b else None for a, b in zip(k, n)], dtype=object)
 
-    return F.pandas_udf(run, "double")(k, n)
+def exact_interval(k: Column, n: Column, confidence: float = 0.95) -> tuple[Column, Column]:
+    """Two-sided exact (Clopper-Pearson) interval; null when n is 0 or missing."""
+    tail = (1 - confidence) / 2
+    return _exact_udf(tail, False)(k, n), _exact_udf(1 - tail, True)(k, n)
+
+
+def auroc_one_versus_rest(df: DataFrame, truth: str, scores: Column) -> DataFrame:
+    """cls, n_pos, n_neg, auroc of every class with members; ``scores`` is a map class -> score. Their mean is the macro AUROC."""
+    each = df.select(truth, F.explode(scores).alias("cls", "_s")).withColumn("_y", F.col(truth) == F.col("cls"))
+    return grouped_auroc(each, ["cls"], "_y", "_s").where("n_pos > 0")
+
+
+def coverage_report(labelled: Column, supported: Column, positive: Column) -> list[Column]:
+    """Counts of rows, labelled, supported, both, their share of the labelled, and positives without support."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    both = F.count_if(yes(labelled) & yes(supported))
+    return [
+        F.count(F.lit(1)).alias("n"), F.count_if(yes(labelled)).alias("n_labelled"), F.count_if(yes(supported)).alias("n_supported"), both.alias("n_used"),
+        F.try_divide(both, F.count_if(yes(labelled))).alias("coverage"), F.count_if(yes(positive) & ~yes(supported)).alias("unsupported_positives"),
+    ]
 
 
 def macro_by_class(df: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sonoloom.functions.hashing import hash_int, hash_int_sql
+from sonoloom.functions.ids import study_key, study_key_sql
 from sonoloom.plans.common import M, P, manifest, predictions
 from sonoloom.plans.registry import Registry
 from sonoloom.plans.text_queries import _NEAR, _nearest
@@ -98,11 +99,14 @@ def row_mixing(t):
     return mixed.select("vec_id", "partner", F.round(F.get(both, F.lit(0)), 6).alias("first"))
 
 
-@R.add("""with r as (select still_row, still_id, source, still_tag, exported_at, row_number() over (partition by lower(trim(still_id)) order by (split = 'train')::int desc, exported_at desc, still_row) as k from radar_stills where still_id is not null)
-select still_row, source, still_tag from r where k = 1""")
+@R.add("""with r as (select still_row, still_id, source, still_tag, exported_at, row_number() over (partition by key order by (split = 'train')::int desc, exported_at desc, still_row) as k, key from (select *, """ + study_key_sql("still_id") + """ as key from radar_stills))
+select still_row, source, still_tag from r where k = 1 or key is null""")
 def preferred_row(t):
-    w = Window.partitionBy(F.lower(F.trim("still_id"))).orderBy((F.col("split") == "train").cast("int").desc(), F.col("exported_at").desc(), "still_row")
-    return t.radar_stills.where("still_id is not null").withColumn("k", F.row_number().over(w)).where("k = 1").select("still_row", "source", "still_tag")
+    """One row per still, of train and latest export first; a row whose id names nothing is no repeat of another."""
+    rows = t.radar_stills.withColumn("key", study_key(F.col("still_id")))
+    best = F.max_by(F.struct("still_row", "source", "still_tag"), F.struct((F.col("split") == "train").cast("int"), "exported_at", -F.col("still_row")))
+    named = rows.where("key is not null").groupBy("key").agg(best.alias("r")).select("r.*")
+    return named.unionByName(rows.where("key is null").select("still_row", "source", "still_tag"))
 
 
 @R.add(f"with {M} select path, count(*) as n, count(distinct study) as n_studies from m where path is not null group by 1 having count(*) > 1 order by n desc, path limit 100")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sonoloom.functions.hashing import hash_int_sql, hash_unit, hash_unit_sql
 from sonoloom.operators import metrics
-from sonoloom.plans.common import P, predictions
+from sonoloom.plans.common import M, P, manifest, predictions
 from sonoloom.plans.registry import Registry
 
 R = Registry()
@@ -68,8 +68,9 @@ def metric_average_precision(t):
 
 
 @R.add(f"""with {P}, g as (select p as s, sum(low::int) as pos, count(*) as n from p group by 1),
-c as (select s, lead(s) over (order by s) as nxt, sum(pos) over (order by s) as cpos, sum(n - pos) over (order by s) as cneg, sum(pos) over () as tp, sum(n - pos) over () as tn from g)
-select round((s + nxt) / 2, 6) as threshold, round(cpos / tp - cneg / tn, 6) as youden_j from c where nxt is not null order by round(cpos / tp - cneg / tn, 12) desc, abs((s + nxt) / 2 - 40), 1 limit 1""")
+c as (select s, lead(s) over (order by s) as nxt, sum(pos) over (order by s) as cpos, sum(n - pos) over (order by s) as cneg, sum(pos) over () as tp, sum(n - pos) over () as tn from g),
+k as (select (s + nxt) / 2 as th, cpos / tp - cneg / tn as j from c where nxt is not null and tp > 0 and tn > 0 union all select min(s) - 1, 0 from c where tp > 0 and tn > 0 having count(*) > 0 union all select max(s) + 1, 0 from c where tp > 0 and tn > 0 having count(*) > 0)
+select round(th, 6) as threshold, round(j, 6) as youden_j from k order by round(j, 12) desc, abs(th - 40), 1 limit 1""")
 def metric_youden(t):
     p = predictions(t).withColumn("inv", -F.col("p"))
     best = metrics.youden(p, "low", "inv", -40.0)
@@ -97,10 +98,19 @@ def metric_calibration_bins(t):
     return metrics.calibration_bins(predictions(t), "low", "prob").select("bin", "n", F.round("mean_p", 6).alias("mean_p"), F.round("observed", 6).alias("observed"))
 
 
-@R.add()
+def _newton_sql(k: int) -> str:
+    """One Newton step of the logistic fit, from (a, b) of ``n{k}`` to those of the next."""
+    return f"""n{k + 1} as (select a + (hxx * g - hx * gx) / (h * hxx - hx * hx) as a, b + (h * gx - hx * g) / (h * hxx - hx * hx) as b from (
+  select any_value(a) as a, any_value(b) as b, sum(n * m * (1 - m)) as h, sum(n * m * (1 - m) * x) as hx, sum(n * m * (1 - m) * x * x) as hxx, sum(k - n * m) as g, sum((k - n * m) * x) as gx
+  from (select lv.*, a, b, 1 / (1 + exp(-(a + b * x))) as m from lv, n{k})))"""
+
+
+@R.add(f"""with {P}, q as (select low, greatest(least(prob, 1 - 1e-6), 1e-6) as q from p where low is not null and prob is not null), lv as (select ln(q / (1 - q)) as x, count(*) as n, sum(low::int) as k from q group by 1),
+n0 as (select 0.0::double as a, 1.0::double as b), {', '.join(_newton_sql(k) for k in range(8))} select round(a, 5) as intercept, round(b, 5) as slope from n8""")
 def calibration_line(t):
     a, b = metrics.calibration_line(predictions(t), "low", "prob")
-    return t.spark.createDataFrame([(a, b)], "intercept double, slope double")
+    got = t.spark.createDataFrame([(a, b)], "intercept double, slope double")
+    return got.select(F.round("intercept", 5).alias("intercept"), F.round("slope", 5).alias("slope"))
 
 
 @R.add(f"""with {P}, q as (select view as truth, case when {hash_unit_sql('view', 'row_id')} < 0.8 then view else 'A4C' end as predicted from p),
@@ -160,12 +170,114 @@ def wilson_ci(t):
     return g.select("site", "k", "n", F.round(lo, 4).alias("ci_low"), F.round(hi, 4).alias("ci_high"))
 
 
-@R.add()
+def _bound_sql(q: float, upper: bool) -> str:
+    """Bisection on the binomial tail in SQL: column ``x`` per view."""
+    terms = "range(0, k + 1)" if upper else "range(k, n + 1)"
+    tail = f"list_sum([exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((lo + hi) / 2) + (n - i) * ln(1 - (lo + hi) / 2)) for i in {terms}])"
+    # Above the bound the lower tail is under 1 - q; below it the upper tail is under q.
+    left = f"{tail} > {1 - q}" if upper else f"{tail} < {q}"
+    edge = "case when k >= n then 1.0 else (lo + hi) / 2 end" if upper else "case when k = 0 then 0.0 else (lo + hi) / 2 end"
+    return f"""(with recursive r as (select view, k::bigint as k, n::bigint as n, 0.0::double as lo, 1.0::double as hi, 0 as step from g
+ union all select view, k, n, case when {left} then (lo + hi) / 2 else lo end, case when {left} then hi else (lo + hi) / 2 end, step + 1 from r where step < 40)
+ select view, {edge} as x from r where step = 40)"""
+
+
+_VIEW_COUNTS = f"with {P}, g as (select view, count(*) filter (low) as k, count(*) as n from p group by 1)"
+
+
+@R.add(f"{_VIEW_COUNTS} select g.view, k, n, round(x, 6) as upper from g join {_bound_sql(0.95, True)} b using (view)")
 def clopper_pearson(t):
     g = predictions(t).groupBy("view").agg(F.count_if("low").alias("k"), F.count(F.lit(1)).alias("n"))
     return g.select("view", "k", "n", F.round(metrics.exact_upper(F.col("k"), F.col("n")), 6).alias("upper"))
 
 
+@R.add(f"{_VIEW_COUNTS} select g.view, k, n, round(l.x, 6) as low, round(u.x, 6) as high from g join {_bound_sql(0.025, False)} l using (view) join {_bound_sql(0.975, True)} u using (view)")
+def exact_two_sided(t):
+    g = predictions(t).groupBy("view").agg(F.count_if("low").alias("k"), F.count(F.lit(1)).alias("n"))
+    low, high = metrics.exact_interval(F.col("k"), F.col("n"))
+    return g.select("view", "k", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+_BANDS = (("low", "y < 40", 35.0), ("middle", "y >= 40 and y < 55", 47.0), ("high", "y >= 55", 62.0))
+
+
+def _ranks_sql(score: str, positive: str, groups: str) -> str:
+    """AUROC by mean ranks per group in SQL."""
+    return f"""(select {groups}, n_pos, n_neg, (ranks - n_pos * (n_pos + 1) / 2) / nullif(n_pos * n_neg, 0) as auroc from (
+  select {groups}, sum(pos)::bigint as n_pos, sum(n - pos)::bigint as n_neg, sum(pos * (upto - (n - 1) / 2)) as ranks from (
+    select {groups}, s, sum(pos) as pos, sum(n) as n, sum(sum(n)) over (partition by {groups} order by s) as upto from (select {groups}, {score} as s, ({positive})::int as pos, 1 as n from e) group by {groups}, s) group by {groups}))"""
+
+
+@R.add(f"""with {P}, e as (select case when y < 40 then 'low' when y < 55 then 'middle' else 'high' end as truth, c.cls, -abs(p - c.mid) as s from p, (values {', '.join(f"('{n}', {m})" for n, _, m in _BANDS)}) c(cls, mid))
+select cls, n_pos, n_neg, round(auroc, 9) as auroc from {_ranks_sql('s', 'truth = cls', 'cls')} where n_pos > 0""")
+def auroc_one_versus_rest(t):
+    truth = F.when(F.col("y") < 40, "low").when(F.col("y") < 55, "middle").otherwise("high")
+    scores = F.create_map(*[x for name, _, mid in _BANDS for x in (F.lit(name), -F.abs(F.col("p") - mid))])
+    g = metrics.auroc_one_versus_rest(predictions(t).withColumn("truth", truth), "truth", scores)
+    return g.select("cls", "n_pos", "n_neg", F.round("auroc", 9).alias("auroc"))
+
+
+@R.add(f"""with {P}, e as (select coalesce(split, 'none') as part, -p as s, low from p) select part, n_pos, n_neg, round(n_pos / (n_pos + n_neg), 6) as prevalence, round(auroc, 9) as auroc from {_ranks_sql('s', 'low', 'part')}""")
+def inverted_score_metrics(t):
+    e = predictions(t).select(F.coalesce("split", F.lit("none")).alias("part"), "low", (-F.col("p")).alias("s"))
+    g = metrics.grouped_auroc(e, ["part"], "low", "s")
+    return g.select("part", "n_pos", "n_neg", F.round(F.try_divide(F.col("n_pos"), F.col("n_pos") + F.col("n_neg")), 6).alias("prevalence"), F.round("auroc", 9).alias("auroc"))
+
+
+@R.add(f"""with {M}, r as (select site, label is not null as labelled, n_frames >= 30 as supported, label < 40 as positive from m)
+select site, count(*) as n, count(*) filter (labelled) as n_labelled, count(*) filter (supported) as n_supported, count(*) filter (labelled and supported) as n_used,
+  round(count(*) filter (labelled and supported) / nullif(count(*) filter (labelled), 0), 6) as coverage, count(*) filter (positive and not coalesce(supported, false)) as unsupported_positives from r group by 1""")
+def coverage_report(t):
+    m = manifest(t)
+    g = m.groupBy("site").agg(*metrics.coverage_report(F.col("label").isNotNull(), F.col("n_frames") >= 30, F.col("label") < 40))
+    return g.withColumn("coverage", F.round("coverage", 6))
+
+
+@R.add(f"with {P}, h as (select view, avg(abs(p - y)) as mae, avg((p - y) ** 2) as mse, count(*) as n from p group by 1) select round(sum((case view when 'A4C' then 2.0 when 'A2C' then 1.0 else 0.5 end) * mse), 6) as weighted_loss, round(max(mae), 6) as worst_mae from h")
+def selection_score(t):
+    h = predictions(t).groupBy("view").agg(F.avg(F.abs(F.col("p") - F.col("y"))).alias("mae"), F.avg((F.col("p") - F.col("y")) * (F.col("p") - F.col("y"))).alias("mse"))
+    w = F.when(F.col("view") == "A4C", 2.0).when(F.col("view") == "A2C", 1.0).otherwise(0.5)
+    return h.agg(F.round(F.sum(w * F.col("mse")), 6).alias("weighted_loss"), F.round(F.max("mae"), 6).alias("worst_mae"))
+
+
+@R.add(f"""with {P} select study, round(avg(p) filter (view = 'A4C'), 6) as a4c, round(avg(p) filter (view = 'A2C'), 6) as a2c, round(avg(p) filter (view = 'PLAX'), 6) as plax from p group by 1""")
+def wide_predictions(t):
+    wide = predictions(t).groupBy("study").pivot("view", ["A4C", "A2C", "PLAX"]).agg(F.round(F.avg("p"), 6))
+    return wide.select("study", F.col("A4C").alias("a4c"), F.col("A2C").alias("a2c"), F.col("PLAX").alias("plax"))
+
+
+@R.add("""with m as (select manufacturer, quantile_disc(spec_x0, 0.5) as mid from radar_stills group by 1) select manufacturer, (case when mid < 70 then 10.0 else 1.0 end)::double as factor, round(max(spec_x0 * case when mid < 70 then 10.0 else 1.0 end), 6) as largest from radar_stills join m using (manufacturer) group by all""")
+def median_unit_choice(t):
+    mid = t.radar_stills.groupBy("manufacturer").agg(F.percentile_approx("spec_x0", 0.5, 10_000).alias("mid"))
+    rows = t.radar_stills.join(mid, "manufacturer").withColumn("factor", F.when(F.col("mid") < 70, 10.0).otherwise(1.0))
+    return rows.groupBy("manufacturer", "factor").agg(F.round(F.max(F.col("spec_x0") * F.col("factor")), 6).alias("largest"))
+
+
+@R.add(f"""with {M}, a as (select view, count(*) as n_videos from m group by 1), b as (select view_class as view, count(*) as n_reviews from column_review group by 1)
+select view, coalesce(n_videos, 0) as n_videos, coalesce(n_reviews, 0) as n_reviews from a full join b using (view)""")
+def outer_group_counts(t):
+    a = manifest(t).groupBy("view").agg(F.count(F.lit(1)).alias("n_videos"))
+    b = t.column_review.groupBy(F.col("view_class").alias("view")).agg(F.count(F.lit(1)).alias("n_reviews"))
+    return a.join(b, "view", "full_outer").na.fill(0, ["n_videos", "n_reviews"])
+
+
+@R.add("""with c as (select concept, origin, count(*) as n, count(distinct source_text) as n_texts, count(*) filter (source_text is null) as n_empty from column_review group by all), k as (select concept, count(distinct lang) as n_langs from column_review group by 1)
+select concept, origin, n, n_texts, n_empty, n_langs > 1 as mixed from c join k using (concept)""")
+def counter_profile(t):
+    c = t.column_review.groupBy("concept", "origin").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source_text").alias("n_texts"), F.count_if(F.col("source_text").isNull()).alias("n_empty"))
+    k = t.column_review.groupBy("concept").agg((F.countDistinct("lang") > 1).alias("mixed"))
+    return c.join(k, "concept").select("concept", "origin", "n", "n_texts", "n_empty", "mixed")
+
+
+@R.add("""with r as (select concept, count(*) filter (source_text is null or trim(source_text) = '') as n_bad from column_review where modality = 'bmode' and view_class = 'A4C' group by 1)
+select case when r.concept is null then 'unreviewed' when n_bad > 0 then 'invalid' else 'valid' end as status, count(*) as n from ontology o left join r on r.concept = o.concept_id group by 1""")
+def review_status(t):
+    bad = F.col("source_text").isNull() | (F.trim("source_text") == "")
+    r = t.column_review.where("modality = 'bmode' and view_class = 'A4C'").groupBy(F.col("concept").alias("concept_id")).agg(F.count_if(bad).alias("n_bad"))
+    status = F.when(F.col("n_bad").isNull(), "unreviewed").when(F.col("n_bad") > 0, "invalid").otherwise("valid")
+    return t.ontology.join(r, "concept_id", "left").groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @R.add(f"""with {P}, e as (select study, b.range as bag, avg(p + ({hash_unit_sql('bags', 'row_id', 'b.range')} - 0.5)) as z from p, range(3) b group by 1, 2)
 select study, round(avg(z), 6) as prediction, round(stddev_pop(z), 6) as bag_std, count(*) as n_bags from e group by 1 having count(distinct bag) = 3""")
 def bag_ensemble(t):

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sonoloom.functions.ids import patient_key, patient_key_sql
 from sonoloom.operators import retrieval, textops
 from sonoloom.plans.registry import Registry
 
 R = Registry()
+# Stands in for the secret of sources.config.read_salt, so that the SQL can say the same digest.
+SALT = "not-a-secret-of-tests"
 
 _CLAUSES = "list_filter(list_transform(regexp_split_to_array({x}, '//|;|\\n|\\.(?:\\s|$)'), lambda c: trim(c)), lambda c: c <> '')"
 _CANON = "regexp_replace(regexp_replace(lower(c), '[\\s]+', ' ', 'g'), '^[ .,;:!?]+|[ .,;:!?]+$', '', 'g')"
@@ -99,11 +102,11 @@ def path_folders(t):
     return t.radar_stills.groupBy(F.regexp_replace("png_path", "/[^/]*$", "").alias("folder"), F.regexp_extract("png_path", r"\.([^./]+)$", 1).alias("suffix")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("select row_id, sha256('salt' || chr(1) || coalesce(patient_id, '')) as person_key, concat_ws(' | ', coalesce(site, '<missing>'), coalesce(view_class, '<missing>'), coalesce(round(fps)::int::varchar, '<missing>')) as layout from build_manifests")
+@R.add(f"select row_id, sha256('{SALT}' || chr(1) || {patient_key_sql('patient_id')}) as person_key, concat_ws(' | ', coalesce(site, '<missing>'), coalesce(view_class, '<missing>'), coalesce(round(fps)::int::varchar, '<missing>')) as layout from build_manifests")
 def salted_keys(t):
     part = lambda c: F.coalesce(c, F.lit("<missing>"))
     return t.build_manifests.select(
-        "row_id", F.sha2(F.concat(F.lit("salt\u0001"), F.coalesce("patient_id", F.lit(""))), 256).alias("person_key"), F.concat_ws(" | ", part(F.col("site")), part(F.col("view_class")), part(F.round("fps").cast("int").cast("string"))).alias("layout")
+        "row_id", F.sha2(F.concat(F.lit(SALT + "\u0001"), patient_key(F.col("patient_id"))), 256).alias("person_key"), F.concat_ws(" | ", part(F.col("site")), part(F.col("view_class")), part(F.round("fps").cast("int").cast("string"))).alias("layout")
     )
 
 

@@ -108,6 +108,25 @@ def test_metrics_brute_force(spark):
     cuts = sorted({s for _, s in known})
     j = lambda t: sum(p > t for p in pos) / len(pos) + sum(n < t for n in neg) / len(neg) - 1
     assert math.isclose(best.youden_j, max(j((a + b) / 2) for a, b in zip(cuts, cuts[1:])))
+    assert metrics.youden(df.where("low"), "low", "s", 0.5).count() == 0
+    worse = spark.createDataFrame([(True, 1.0), (False, 2.0)], "low boolean, s double")
+    assert [(r.threshold, r.youden_j) for r in metrics.youden(worse, "low", "s", 0.9).collect()] == [(0.0, 0.0)]
+    worse = spark.createDataFrame([(True, 38.0), (True, 45.0), (False, 44.0), (False, 60.0)], "low boolean, p double").withColumn("s", -F.col("p"))
+    assert metrics.youden(worse, "low", "s", -40.0).first().threshold == -41.0
+
+
+def test_exact_interval_by_the_binomial_tail(spark):
+    rows = [(k, n) for n in (1, 7, 60, 5000) for k in sorted({0, 1, n // 3, n - 1, n})] + [(None, 4), (1, None)]
+    low, high = metrics.exact_interval(F.col("k"), F.col("n"), 0.9)
+    tail = lambda k, n, p: math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    for r in spark.createDataFrame(rows, "k int, n int").select("k", "n", low.alias("low"), high.alias("high")).collect():
+        if r.k is None or r.n is None:
+            assert r.low is None and r.high is None
+        elif r.n < 100:
+            assert r.high == 1.0 if r.k == r.n else math.isclose(tail(r.k, r.n, r.high), 0.05, rel_tol=1e-6)
+            assert r.low == 0.0 if r.k == 0 else math.isclose(1 - tail(r.k - 1, r.n, r.low), 0.05, rel_tol=1e-6)
+        else:
+            assert 0 <= r.low <= r.k / r.n <= r.high <= 1 and r.high - r.low < 0.03
 
 
 def test_calibration_and_bounds(spark):
@@ -119,7 +138,8 @@ def test_calibration_and_bounds(spark):
     a, b = metrics.calibration_line(spark.createDataFrame(x, "y boolean, p double"), "y", "p")
     assert abs(a - 0.5) < 0.15 and abs(b - 2) < 0.2
     a, b = metrics.calibration_line(spark.createDataFrame([(True, 0.9), (False, 0.1)], "y boolean, p double"), "y", "p")
-    assert math.isnan(a) and math.isnan(b)
+    assert a is None and b is None
+    assert metrics.calibration_line(spark.createDataFrame([], "y boolean, p double"), "y", "p") == (None, None)
     r = spark.createDataFrame([(0, 100), (3, 3), (0, 0)], "k int, n int").select(metrics.exact_upper(F.col("k"), F.col("n")).alias("u")).collect()
     assert math.isclose(r[0].u, 1 - 0.05 ** (1 / 100), rel_tol=1e-6) and r[1].u == 1.0 and r[2].u is None
 
