@@ -68,13 +68,6 @@ def json_field_profile(t):
     return v.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count("x").alias("n_known"), F.count(number).alias("n_numbers"), F.round(F.avg(number), 6).alias("mean"))
 
 
-@R.add("""with w as (select unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) as word, doc_id from documents where lang = 'en')
-select word, count(*) as n, count(distinct doc_id) as n_docs from w group by 1 having count(*) >= 20""")
-def word_counts_min_support(t):
-    w = t.documents.where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1))).alias("word"))
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs")).where("n >= 20")
-
-
 @R.add("""with w as (select unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{M}]+')) as word, doc_id from documents)
 select word, count(*) as n, count(distinct doc_id) as n_docs from w group by 1 having count(*) >= 20""")
 def word_counts_all(t):
@@ -145,32 +138,6 @@ def prompt_regression_lower_median(t):
     return n.groupBy("query_id").agg(retrieval.lower_median(F.collect_list("label")).alias("lower_median"))
 
 
-_PROMPTS = f"""{_UNIT}, c as (select label as grade, i, avg(v[i]) as x from u, range(1, 65) r(i) where vec_id % 20 <> 0 group by 1, 2), p as (select grade, list(x order by i) as x from c group by 1),
-s as (select q.vec_id as query_id, p.grade, list_dot_product(q.v, p.x) as score from u q, p where q.vec_id % 20 = 0),
-e as (select *, exp((score - max(score) over (partition by query_id)) / 0.1) as e from s)"""
-
-
-def _prompt_scores(t):
-    u = _units(t)
-    p = retrieval.mean_vector(u.where("vec_id % 20 <> 0"), ["label"], "v")
-    grades = F.array_sort(F.collect_list(F.struct(F.col("label").alias("grade"), "v")))
-    held = p.agg(grades.alias("grades"))  # one row: a vector per grade
-    rows = u.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.lit(1).alias("one")).join(F.broadcast(held.withColumn("one", F.lit(1))), "one")
-    s = rows.select("query_id", F.explode("grades").alias("g"), "q").select("query_id", "g.grade", retrieval.dot(F.col("q"), F.col("g.v")).alias("score"))
-    return retrieval.softmax(s, "query_id", "score", 0.1)
-
-
-@R.add(f"with {_PROMPTS} select query_id, grade, round(e / sum(e) over (partition by query_id), 6) as probability from e")
-def prompt_categorical(t):
-    return _prompt_scores(t).select("query_id", "grade", F.round("probability", 6).alias("probability"))
-
-
-@R.add(f"with {_PROMPTS} select query_id, round(1 / (1 + exp(-(avg(score) filter (grade < 5) - avg(score) filter (grade >= 5)) / 0.1)), 6) as probability from s group by 1")
-def prompt_binary(t):
-    s = _prompt_scores(t).groupBy("query_id").agg((F.avg(F.when(F.col("grade") < 5, F.col("score"))) - F.avg(F.when(F.col("grade") >= 5, F.col("score")))).alias("d"))
-    return s.select("query_id", F.round(1 / (1 + F.exp(-F.col("d") / 0.1)), 6).alias("probability"))
-
-
 # Every row against the prompt vectors: grade centres of length 1, and the mean over each of two prompt sets.
 _CENTRES = f"""{_UNIT}, c as (select {{grade}} as grade, i, avg(v[i]) as x from u, range(1, 65) r(i) where vec_id % 20 <> 0 and label is not null group by 1, 2), p as (select grade, list(x order by i) as x from c group by 1),
 s as (select q.vec_id, p.grade, list_dot_product(q.v, p.x){{length}} as score from u q, p where q.v is not null)"""
