@@ -35,7 +35,7 @@ from sonoloom.llm.pairs import expand_members
 from sonoloom.session import write_scratch
 
 # Chunks have MIN_CHUNK + 2**CUT_BITS bytes on average, so that ids are cut as well as texts.
-MIN_CHUNK, CUT_BITS, MAX_CHUNK = 4, 2, 256
+MIN_CHUNK, CUT_BITS, MAX_CHUNK = 6, 3, 256
 WHOLE = 1.0
 MAX_FLIPPED = 12
 _MASK64 = (1 << 64) - 1
@@ -72,13 +72,13 @@ def _chunk_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             parts = []
             for c in chunks(field):
                 # The second of two equal chunks is another one, so that sets stand for repeats too.
-                parts.append({"d": xxhash.xxh3_128_hexdigest(b"%b\n%d\n%b" % (kind.encode(), seen[c], c)), "l": len(c)})
+                parts.append({"d": xxhash.xxh3_64_intdigest(b"%b\n%d\n%b" % (kind.encode(), seen[c], c)) - (1 << 63), "l": len(c)})
                 seen[c] += 1
             rows.append((kind, eval_side, fid, sum(p["l"] for p in parts), parts))
         yield frame(rows, ["kind", "eval_side", "fid", "length", "chunks"])
 
 
-_CHUNKED = "kind string, eval_side boolean, fid string, length int, chunks array<struct<d:string,l:int>>"
+_CHUNKED = "kind string, eval_side boolean, fid string, length int, chunks array<struct<d:bigint,l:int>>"
 
 
 def side(split) -> Column:
@@ -97,8 +97,12 @@ def record_fields(records: DataFrame) -> DataFrame:
 
 
 def chunked_fields(members: DataFrame) -> DataFrame:
-    """Distinct fields of either side with their chunks (digest, length)."""
-    return members.select("kind", "eval_side", "fid", "field").dropDuplicates(["kind", "eval_side", "fid"]).mapInPandas(_chunk_batches, _CHUNKED)
+    """Distinct fields of either side with their chunks (64-bit digest, length).
+
+    Two chunks with one digest by chance can make a candidate or add to a sum below the
+    whole; a field shared whole is compared by its own 128-bit digest.
+    """
+    return members.select("kind", "eval_side", "fid", "field").distinct().mapInPandas(_chunk_batches, _CHUNKED)
 
 
 def field_overlaps(fields: DataFrame, least: float = WHOLE) -> DataFrame:
