@@ -35,20 +35,62 @@ def sessions(events: DataFrame, gap: str, by: str, late: str = "1 hour") -> Data
 
 
 def running_profile(events: DataFrame, by: str = "user_id") -> DataFrame:
-    """Count, least, greatest and mean value per key over all batches (custom state)."""
+    """Count, least, greatest and mean value per key over all batches: built-in aggregates, for update or complete mode."""
+    return events.groupBy(by).agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"))
+
+
+def quiet_keys(events: DataFrame, by: str, gap: str, late: str = "1 hour") -> DataFrame:
+    """by, n, last: keys that fell silent for ``gap`` of event time (custom state with a timeout, so state of silent keys is freed)."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, total, low, high = state.get if state.exists else (0, 0.0, float("inf"), float("-inf"))
+        n, last = state.get if state.exists else (0, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({by: [key[0]], "n": [n], "last": [pd.Timestamp(last, unit="us")]})
+            return
         for pdf in batches:
-            v = pdf["value"].dropna()
-            if len(v):
-                n, total, low, high = n + len(v), total + float(v.sum()), min(low, float(v.min())), max(high, float(v.max()))
-        state.update((n, total, low, high))
-        yield pd.DataFrame({by: [key[0]], "n": [n], "low": [low if n else None], "high": [high if n else None], "mean": [total / n if n else None]})
-
-    return events.groupBy(by).applyInPandasWithState(
-        update, f"{by} long, n long, low double, high double, mean double", "n long, total double, low double, high double", "update", GroupStateTimeout.NoTimeout
-    )
+            if len(pdf):
+                n, last = n + len(pdf), max(last, int(pdf["ts"].max().value // 1000))
+        state.update((n, last))
+        state.setTimeoutTimestamp(max(last // 1000 + wait, state.getCurrentWatermarkMs() + 1))
+
+    wait = int(pd.Timedelta(gap).total_seconds() * 1000)
+    rows = events.select(by, F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return rows.groupBy(by).applyInPandasWithState(update, f"{by} long, n long, last timestamp", "n long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def metric_sink(stream: DataFrame, path: str, checkpoint: str, hidden: tuple[str, ...] = ()) -> list[dict]:
+    """Run to the end; each batch leaves one line of numbers (batch, rows, sums of the numeric columns), columns in ``hidden`` left out. Returns the lines.
+
+    A batch that runs again replaces its own line, so a resumed run repeats nothing.
+    """
+    numeric = [c for c, t in stream.dtypes if t in ("int", "bigint", "float", "double") and c not in hidden]
+
+    def put(df: DataFrame, batch: int) -> None:
+        df.agg(F.count(F.lit(1)).alias("rows"), *[F.sum(c).alias(f"sum_{c}") for c in numeric]).withColumn("batch", F.lit(batch)).write.mode("overwrite").json(f"{path}/batch={batch}")
+
+    stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    lines = stream.sparkSession.read.option("basePath", path).json(f"{path}/batch=*")
+    return [r.asDict() for r in lines.orderBy("batch").collect()]
+
+
+def with_deadline(run, seconds: float):
+    """``run(record)`` -> (status, result): ``done``, ``failed`` (with the error) or ``late`` if it takes longer than ``seconds``. For use inside mapInPandas."""
+    from concurrent.futures import ThreadPoolExecutor
+    from concurrent.futures import TimeoutError as Late
+
+    def timed(record) -> tuple[str, object]:
+        pool = ThreadPoolExecutor(1)
+        try:
+            return "done", pool.submit(run, record).result(seconds)
+        except Late:
+            return "late", None
+        except Exception as e:  # noqa: BLE001
+            return "failed", f"{type(e).__name__}: {e}"
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)
+
+    return timed
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
