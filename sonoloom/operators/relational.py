@@ -76,16 +76,45 @@ def in_two_splits(df: DataFrame, key: str, split: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(n.alias("n_splits"), F.array_join(F.array_sort(F.collect_set(split)), "+").alias("splits")).where("n_splits > 1")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, out: str) -> DataFrame:
-    """Latest ``value`` of ``right`` at or before each left row's time, by union and one ordered pass."""
-    a = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(right.schema[value].dataType))
+def as_of(left: DataFrame, right: DataFrame, key: str, at: str, value: str, out: str, cell: int = 86_400) -> DataFrame:
+    """Latest ``value`` of ``right`` at or before each left row's time; null values are passed over.
+
+    Time is cut into cells of ``cell`` seconds, so a key of any size is spread over its cells:
+    each cell is one ordered pass over its own rows, and the last value of the cells before
+    is carried in from a table with one row per key and cell.
+    """
+    second = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (1_000_000 * cell)).cast("long")
+    kind = right.schema[value].dataType
+    a = left.withColumn("_side", F.lit(1)).withColumn("_v", F.lit(None).cast(kind))
     b = right.select(key, at, F.col(value).alias("_v")).withColumn("_side", F.lit(0))
     for c in left.columns:
         if c not in (key, at):
             b = b.withColumn(c, F.lit(None).cast(left.schema[c].dataType))
-    w = Window.partitionBy(key).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.unionByName(b.select(*a.columns))
-    return both.withColumn(out, F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select(*left.columns, out)
+    both = a.unionByName(b.select(*a.columns)).withColumn("_cell", second(at))
+    known = F.when(F.col("_v").isNotNull(), F.col(at))
+    last = both.groupBy(key, "_cell").agg(F.max_by("_v", known).alias("_last"))
+    before = Window.partitionBy(key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(F.col(key).alias("_k"), F.col("_cell").alias("_c"), F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    w = Window.partitionBy(key, "_cell").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = both.withColumn("_in", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    met = inside.join(carried, F.col(key).eqNullSafe(F.col("_k")) & F.col("_cell").eqNullSafe(F.col("_c")), "left")
+    return met.select(*left.columns, F.coalesce("_in", "_carried").alias(out))
+
+
+def rolling_range(df: DataFrame, group: str, us: str, width: int, aggregates: dict[str, Column], cell: int | None = None) -> DataFrame:
+    """``df`` with aggregates over the rows of its group in the ``width`` microseconds up to and with each row.
+
+    Time is cut into cells of ``cell`` (six widths); the rows of the last ``width`` of a cell
+    are copied into the next one as context, so a window never needs more than one cell
+    and a group of any size is spread over its cells. ``aggregates`` maps new columns to aggregates.
+    """
+    cell = cell or 6 * width
+    own = F.floor(F.col(us) / cell)
+    late = F.col(us) - own * cell >= cell - width
+    copies = F.when(late, F.array(F.struct(own.alias("cell"), F.lit(True).alias("own")), F.struct((own + 1).alias("cell"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(own.alias("cell"), F.lit(True).alias("own"))))
+    spread = df.withColumn("_c", F.explode(copies))
+    w = Window.partitionBy(group, F.col("_c.cell")).orderBy(us).rangeBetween(-width, 0)
+    return spread.select(*df.columns, "_c", *[a.over(w).alias(name) for name, a in aggregates.items()]).where("_c.own").drop("_c")
 
 
 def validated_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", one: str = "1:1", complete: bool = False) -> DataFrame:

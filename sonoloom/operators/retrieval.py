@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sonoloom.session import write_scratch
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -20,13 +22,16 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1024) ->
     """query_id, vec_id, similarity, place: the ``k`` most similar corpus vectors of each query (cosine, ties by id).
 
     queries: query_id, v; corpus: vec_id, v (unit vectors). The query set goes to the
-    executors in blocks of ``block`` vectors; each corpus partition keeps its k best per
-    query, so what is shuffled is k rows per query and partition. A query is not its own neighbour.
+    executors in blocks of about ``block`` vectors; the driver holds one block at a time.
+    Each corpus partition keeps its k best per query, so what is shuffled is k rows per query
+    and partition. A query is not its own neighbour.
     """
-    rows = [(r.query_id, list(r.v)) for r in queries.select("query_id", "v").toLocalIterator() if r.v is not None]
+    queries = queries.where("v is not null").select("query_id", "v")
     spark, found = corpus.sparkSession, None
-    for at in range(0, max(len(rows), 1), block):
-        held = spark.sparkContext.broadcast(rows[at : at + block])
+    blocks = max(1, -(-queries.count() // block))
+    for at in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == at)
+        held = spark.sparkContext.broadcast([(r.query_id, list(r.v)) for r in part.collect()])
 
         def search(batches, held=held):
             import numpy as np
@@ -47,6 +52,10 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1024) ->
             yield pd.DataFrame([(q, v, -s) for q, b in zip(ids, best) for s, v in b], columns=["query_id", "vec_id", "similarity"])
 
         one = corpus.select(F.col("vec_id").cast("long").alias("vec_id"), "v").mapInPandas(search, "query_id long, vec_id long, similarity double")
+        if blocks > 1:
+            # Each block is searched and written before the next one is fetched.
+            one = write_scratch(one, "nearest")
+            held.destroy()
         found = one if found is None else found.unionByName(one)
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id")
     return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)

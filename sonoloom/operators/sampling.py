@@ -67,12 +67,15 @@ def round_robin(df: DataFrame, group: str, family: str, key: str, slots: int, se
     """Up to ``slots`` rows per group, one of each family in turn; later tiers only fill what is left."""
     h = hash_int(seed, F.col(group), F.col(key))
     ranked = df.withColumn("turn", F.row_number().over(Window.partitionBy(group, family).orderBy(h, key)))
+    if tier is None:
+        # A later turn of a family has ``slots`` rows of it before it.
+        ranked = ranked.where(F.col("turn") <= slots)
     order = ([tier] if tier is not None else []) + [F.col("turn"), hash_int(seed, F.col(group), F.col(family)), F.col(family)]
     return ranked.withColumn("slot", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("slot") <= slots)
 
 
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int, out: str = "place") -> DataFrame:
-    """First ``k`` rows of each group."""
+    """First ``k`` rows of each group; the rank filter lets Spark keep only k rows of a group per task before the shuffle (window group limit)."""
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(out) <= k)
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from sonoloom.operators import relational
 from sonoloom.plans.registry import Registry
 from sonoloom.session import scratch_path
 from sonoloom.streaming import events as stream
@@ -38,9 +39,9 @@ def event_session(t):
 
 @R.add("select event_id, round(avg(value) over (partition by event_type order by epoch_us(ts) range between 3600000000 preceding and current row), 9) as mean_1h from events")
 def event_rolling_range(t):
-    w = Window.partitionBy("event_type").orderBy("us").rangeBetween(-3_600_000_000, 0)
-    e = t.events.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    return e.select("event_id", F.round(F.avg("value").over(w), 9).alias("mean_1h"))
+    e = t.events.select("event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    out = relational.rolling_range(e, "event_type", "us", 3_600_000_000, {"mean_1h": F.avg("value")})
+    return out.select("event_id", F.round("mean_1h", 9).alias("mean_1h"))
 
 
 @R.add("select user_id, event_type, event_id, value from (select *, row_number() over (partition by user_id, event_type order by ts, event_id) as k from events) where k = 1")

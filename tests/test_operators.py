@@ -175,3 +175,14 @@ def test_hot_keys_join(spark):
     assert "hot" in hot and len(hot) <= 10
     out = skew.salted_join(left, right, "k", hot, F.col("i"), "left")
     assert out.count() == 501 and out.where("v = 'a'").count() == 400 and out.where("v = 'b'").count() == 1
+
+
+def test_rolling_range_over_cells_brute_force(spark):
+    rng = random.Random(21)
+    data = [(i, "a" if rng.random() < 0.7 else "b", rng.randrange(2000), float(rng.randrange(9))) for i in range(400)]
+    df = spark.createDataFrame(data + [(900, None, 5, 1.0), (901, "a", 7, None)], "i int, g string, us long, x double")
+    got = {r.i: (r.n, r.top) for r in relational.rolling_range(df, "g", "us", 40, {"n": F.count("x"), "top": F.max("x")}, cell=100).collect()}
+    for i, g, us, _ in data:
+        near = [x for _, h, u, x in data if h == g and us - 40 <= u <= us]
+        assert got[i] == (len(near), max(near)), i
+    assert len(got) == 402 and got[900] == (1, 1.0)
