@@ -1,8 +1,8 @@
 """Global ranks and running sums without a one-task window.
 
 Rows are cut into buckets that follow the order, each bucket is ranked on its own, and
-the totals of the buckets before it are added. The buckets are few and fixed in number,
-so the window over their totals is small at any input size.
+the totals of the buckets before it are added. Hash buckets are fixed in number and value buckets have BUCKET_ROWS
+rows each, so the window over their totals has few rows beside the input.
 """
 
 from __future__ import annotations
@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BUCKETS = 4096
-VALUE_BUCKETS = 512
 BUCKET_ROWS = 50_000
 
 
@@ -29,19 +28,28 @@ def rank_by_hash(df: DataFrame, h: Column, tie: list[str], out: str = "rank", gr
     return local.join(_offsets(rows, F.count(F.lit(1)), g), [*g, "_bucket"]).withColumn(out, (F.col("_before") + F.col("_r")).cast("long")).drop("_h", "_bucket", "_before", "_r")
 
 
-def value_bucket(df: DataFrame, value: str, buckets: int = VALUE_BUCKETS) -> Column:
-    """Bucket number that grows with ``value``, cut at approximate quantiles (at most ``buckets`` numbers on the driver)."""
-    cuts = df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 1.0 / (4 * buckets))
-    cuts = sorted(set(cuts))
-    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c < F.col(value))) if cuts else F.lit(0)
+def value_bucket(df: DataFrame, value: str, buckets: int) -> Column:
+    """Bucket number that grows with ``value``, cut at approximate quantiles; ``buckets`` - 1 numbers come to the driver.
+
+    The cuts are searched in two steps, first among every root-th one, so a row costs about
+    twice the root of their number.
+    """
+    cuts = sorted(set(df.approxQuantile(value, [k / buckets for k in range(1, buckets)], 1.0 / (4 * buckets))))
+    if not cuts:
+        return F.lit(0)
+    step = max(1, int(len(cuts) ** 0.5))
+    array = lambda xs: F.expr("array(" + ",".join(f"{float(c)!r}D" if abs(c) != float("inf") else f"double('{c}')" for c in xs) + ")")
+    below = lambda xs: F.size(F.filter(xs, lambda c: c < F.col(value)))
+    coarse = below(array(cuts[step - 1 :: step]))
+    return coarse * step + below(F.slice(array(cuts), coarse * step + 1, step))
 
 
 def running_sums(df: DataFrame, order: str, tie: list[str], sums: dict[str, str]) -> DataFrame:
     """For each ``out: value``: the sum over all rows up to and with this one, in the order of a number and ``tie``.
 
-    One bucket for every BUCKET_ROWS rows, VALUE_BUCKETS at most.
+    One bucket for every BUCKET_ROWS rows.
     """
-    buckets = min(VALUE_BUCKETS, df.count() // BUCKET_ROWS + 1)
+    buckets = df.count() // BUCKET_ROWS + 1
     rows = df.withColumn("_bucket", value_bucket(df, order, buckets) if buckets > 1 else F.lit(0))
     upto = Window.partitionBy("_bucket").orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = rows.select("*", *[F.sum(v).over(upto).alias(out) for out, v in sums.items()])

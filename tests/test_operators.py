@@ -186,3 +186,17 @@ def test_rolling_range_over_cells_brute_force(spark):
         near = [x for _, h, u, x in data if h == g and us - 40 <= u <= us]
         assert got[i] == (len(near), max(near)), i
     assert len(got) == 402 and got[900] == (1, 1.0)
+
+
+def test_running_sums_over_many_buckets(spark, monkeypatch):
+    from sonoloom.functions import ranks
+
+    monkeypatch.setattr(ranks, "BUCKET_ROWS", 10)
+    rng = random.Random(22)
+    data = [(i, rng.choice([float(rng.randrange(-50, 50)), rng.random()]), rng.randrange(5)) for i in range(600)]
+    got = {r.i: r.upto for r in ranks.running_sums(spark.createDataFrame(data, "i int, x double, v int"), "x", ["i"], {"upto": "v"}).collect()}
+    total, want = 0, {}
+    for i, _, v in sorted(data, key=lambda r: (r[1], r[0])):
+        total += v
+        want[i] = total
+    assert got == want
