@@ -13,7 +13,7 @@ it. Among Latin letters the reading as the Latin letter saves two changes of scr
 wins; in a Greek word the letter stays what it is.
 
 The bigram counts cover the tokens of all documents that are written in one of SCRIPTS
-beyond doubt (ASCII, or a single script with at least one letter without a look-alike).
+beyond doubt (Latin letters only, or another script with at least one letter without a look-alike).
 The model holds one number per pair of letters of these scripts, a bound that does not
 grow with the corpus; letters of other scripts have no look-alike and are not counted.
 """
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sonoloom.functions.skew import spread
-from sonoloom.llm.chars import LOOKALIKES, PROTOTYPE, SIGNS_TO_PROTOTYPE, TO_PROTOTYPE, prepare
+from sonoloom.llm.chars import LOOKALIKES, PROTOTYPE, SIGNS_TO_PROTOTYPE, TO_PROTOTYPE, compat_table, prepare
 from sonoloom.llm.frames import frame
 from sonoloom.llm.pairs import pairs_across_classes
 
@@ -44,6 +44,7 @@ RESEMBLES_COST = 8.0
 # Letters of other scripts that resemble a Latin one without having its shape.
 RESEMBLING = {"a": "α", "i": "ι", "k": "κк", "m": "м", "n": "пη", "o": "σ", "p": "ρ", "r": "г", "t": "τт", "u": "υ", "w": "ω", "x": "χ", "y": "γ", "b": "ь", "h": "ћ", "g": "ց"}
 CACHE_TOKENS = 200_000
+COUNT_CHARS = 2_000_000
 _MARKS = "\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f"
 _TOKEN = re.compile(rf"([^\W\d_][^\W\d_{_MARKS}]*(?:[{_MARKS}]+[^\W\d_]*)*)")
 _AMBIGUOUS = {m for latin, others in LOOKALIKES.items() for m in latin + others}
@@ -74,44 +75,80 @@ def options(ch: str) -> list[tuple[str, str | None, float]]:
     return [(ch, script_of(ch), 0.0)] + [(m, of, RESEMBLES_COST) for m, of, _ in _MEMBERS.get(plain, [(plain, script_of(plain), 0.0)] if plain else [])]
 
 
-def _pairs_of(tokens: Counter) -> Counter:
-    """Letter pairs of tokens of one script of SCRIPTS with at least one letter that is no look-alike."""
-    out: Counter = Counter()
-    for token, n in tokens.items():
-        letters = [c for c in token if not unicodedata.combining(c)]
-        scripts = {script_of(c) for c in letters}
-        if len(scripts) == 1 and scripts <= set(SCRIPTS) and not all(c in _AMBIGUOUS for c in letters):
-            for a, b in zip(["^", *letters], [*letters, "$"]):
-                out[a + b] += n
-    return out
+class PairCounts:
+    """Letter pairs of many texts at once, over arrays of code points.
 
+    A token counts if its letters are Latin, or all of one other script of SCRIPTS with at
+    least one that has no look-alike. Accents and invisible characters are passed over, as
+    in :func:`chars.prepare`.
+    """
 
-def _ascii_pairs(text: str) -> Counter:
-    """Letter pairs of all runs of letters of an ASCII text, counted without cutting it up."""
-    codes = np.frombuffer(f" {text} ".encode(), dtype=np.uint8)
-    letters = np.where((codes | 32) - np.uint8(97) < 26, codes, 0).astype(np.int32)
-    counts = np.bincount(letters[:-1] * 128 + letters[1:], minlength=128 * 128)
-    return Counter({(chr(k // 128) if k // 128 else "^") + (chr(k % 128) if k % 128 else "$"): int(counts[k]) for k in np.flatnonzero(counts) if k})
+    def __init__(self):
+        self.base = np.full(0x110000, -2, dtype=np.int32)  # -2: not met yet, -1: passed over, 0: no letter
+        self.total: Counter = Counter()
+
+    def _learn(self, codes: np.ndarray) -> None:
+        met = np.flatnonzero(np.bincount(codes, minlength=0x110000))
+        for cp in met[self.base[met] == -2].tolist():
+            form = [c for c in prepare(chr(cp)) if unicodedata.combining(c) == 0]
+            # What stands for several letters is written out before (SEVERAL).
+            self.base[cp] = -1 if not form else ord(form[0]) if form[0].isalpha() else 0
+
+    def add(self, texts: list[str]) -> None:
+        text = _SEVERAL.sub(lambda m: prepare(m[0]), "\n".join(texts))
+        codes = np.frombuffer(f"\n{text}\n".encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        self._learn(codes)
+        letters = self.base[codes]
+        letters = letters[letters != -1]
+        kinds = np.unique(letters)
+        kinds = kinds[kinds > 0]
+        if not len(kinds):
+            return
+        dense = np.zeros(0x110000, dtype=np.int32)
+        dense[kinds] = np.arange(1, len(kinds) + 1)
+        ids = dense[letters]
+        of = [script_of(chr(c)) for c in kinds.tolist()]
+        number = {s: k + 1 for k, s in enumerate(SCRIPTS)}
+        script = np.array([0] + [number.get(s, 99) for s in of], dtype=np.int8)[ids]
+        plain = np.array([True] + [chr(c) not in _AMBIGUOUS or s == "LATIN" for c, s in zip(kinds.tolist(), of)])[ids]
+        inside = np.flatnonzero(ids)
+        starts = np.flatnonzero(np.diff(inside, prepend=-2) > 1)
+        low, high = np.minimum.reduceat(script[inside], starts), np.maximum.reduceat(script[inside], starts)
+        good = (low == high) & (high < 99) & np.maximum.reduceat(plain[inside], starts)
+        keep = np.repeat(good, np.diff(starts, append=len(inside)))
+        ids[inside[~keep]] = 0
+        size = len(kinds) + 1
+        counts = np.bincount(ids[:-1] * size + ids[1:], minlength=size * size)
+        name = ["", *map(chr, kinds.tolist())]
+        for k in np.flatnonzero(counts).tolist():
+            if k:
+                x, y = divmod(k, size)
+                self.total[(name[x] or "^") + (name[y] or "$")] += int(counts[k])
+
+
+def _several() -> re.Pattern:
+    """Characters whose plain form has more than one letter, such as ligatures."""
+    many = [chr(cp) for cp, form in compat_table().items() if form and len(form) > 1]
+    return re.compile("[" + re.escape("".join(sorted(many))) + "]")
+
+
+_SEVERAL = _several()
 
 
 def _count_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total: Counter = Counter()
+    pairs = PairCounts()
     for pdf in batches:
-        plain, tokens = [], Counter()
+        texts, size = [], 0
         for text in pdf["text"]:
             if text:
-                t = prepare(text)
-                if t.isascii():
-                    plain.append(t)
-                else:
-                    for w in _TOKEN.findall(t):
-                        if w.isascii():
-                            plain.append(w)
-                        else:
-                            tokens[w] += 1
-        total.update(_pairs_of(tokens))
-        total.update(_ascii_pairs(" ".join(plain)))
-    yield frame(list(total.items()), ["pair", "n"])
+                texts.append(text)
+                size += len(text)
+                if size >= COUNT_CHARS:
+                    pairs.add(texts)
+                    texts, size = [], 0
+        if texts:
+            pairs.add(texts)
+    yield frame(list(pairs.total.items()), ["pair", "n"])
 
 
 def script_model(docs: DataFrame, text: str = "text") -> dict[str, int]:

@@ -156,6 +156,20 @@ def test_scores_decide_letters_that_only_resemble():
 
 
 def test_pair_counts(spark):
-    assert lookalike._ascii_pairs("ab, A1b") == {"^a": 1, "ab": 1, "b$": 2, "^A": 1, "A$": 1, "^b": 1}
-    got = lookalike.script_model(docs(spark, ["ab ab", "кот", "中文字", "aб", None, "é ab"]))
-    assert got["ab"] == 3 and got["^к"] == 1 and not any("中" in k or "文" in k or "б" in k for k in got)
+    got = lookalike.script_model(docs(spark, ["ab ab", "кот", "中文字", "aб", None, "é ab", "оса ﬁn-z\u00adz 1x", ""]))
+    assert got["ab"] == 3 and got["^к"] == 1 and got["^e"] == 1 and got["fi"] == 1 and got["zz"] == 1 and got["^x"] == 1
+    assert not any(c in k for k in got for c in "中文бса")
+    rng = random.Random(30)
+    texts = ["".join(rng.choice("aeo bкт̆цβ ,é1ﬀ\u200b") for _ in range(rng.randrange(40))) for _ in range(300)]
+    want = {}
+    for t in texts:
+        for w in lookalike._TOKEN.findall(chars.prepare(t)):
+            letters = [c for c in w if not unicodedata.combining(c)]
+            scripts = {lookalike.script_of(c) for c in letters}
+            if len(scripts) == 1 and (scripts == {"LATIN"} or not all(c in lookalike._AMBIGUOUS for c in letters)):
+                for x, y in zip(["^", *letters], [*letters, "$"]):
+                    want[x + y] = want.get(x + y, 0) + 1
+    counts = lookalike.PairCounts()
+    for k in range(0, 300, 7):
+        counts.add(texts[k : k + 7])
+    assert dict(counts.total) == want
