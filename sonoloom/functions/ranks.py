@@ -20,12 +20,21 @@ def _offsets(df: DataFrame, total: Column, groups: list[str]) -> DataFrame:
     return per.select(*groups, "_bucket", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on ``keys`` in which null meets null; the keys of ``left`` stay."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    met = F.lit(True)
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(named, met).drop(*[f"_r_{k}" for k in keys])
+
+
 def rank_by_hash(df: DataFrame, h: Column, tie: list[str], out: str = "rank", groups: tuple[str, ...] = ()) -> DataFrame:
-    """1-based rank of rows in the order of a 32-bit hash, then ``tie``; within ``groups`` if given."""
+    """1-based rank of rows in the order of a 32-bit hash, then ``tie``; within ``groups`` if given, where null is a group of its own."""
     g = list(groups)
     rows = df.withColumn("_h", h).withColumn("_bucket", F.shiftright("_h", 20))
     local = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*g, "_bucket").orderBy("_h", *tie)))
-    return local.join(_offsets(rows, F.count(F.lit(1)), g), [*g, "_bucket"]).withColumn(out, (F.col("_before") + F.col("_r")).cast("long")).drop("_h", "_bucket", "_before", "_r")
+    return null_safe_join(local, _offsets(rows, F.count(F.lit(1)), g), [*g, "_bucket"]).withColumn(out, (F.col("_before") + F.col("_r")).cast("long")).drop("_h", "_bucket", "_before", "_r")
 
 
 def value_bucket(df: DataFrame, value: str, buckets: int) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sonoloom.functions.hashing import hash_unit
-from sonoloom.functions.ranks import rank_by_hash
+from sonoloom.functions.hashing import hash_int, hash_unit
+from sonoloom.functions.ranks import null_safe_join, rank_by_hash
 
 
 def repeated_blocks(x: Column, block: int, times: int) -> Column:
@@ -84,8 +84,6 @@ def near_pairs(df: DataFrame, group: str, row_id: str, at: str, width: float) ->
 
 def length_batches(df: DataFrame, length: str, key: str, size: int, seed: str) -> DataFrame:
     """``df`` with batch: rows of one length in batches of ``size``, in a seeded order."""
-    from sonoloom.functions.hashing import hash_int
-
     ranked = rank_by_hash(df.where(F.col(length).isNotNull()), hash_int(seed, F.col(key)), [key], "_rank", (length,))
     return ranked.withColumn("batch", F.floor((F.col("_rank") - 1) / size).cast("long")).drop("_rank")
 
@@ -105,10 +103,8 @@ def dropped_slots(slots: Column, seed: str, key: Column, chance: float, least: i
 
 def row_map(df: DataFrame, dataset: str, key: str) -> DataFrame:
     """key, dataset, local (place in its dataset from 0), global_row (after all datasets before it, by name); no window holds all rows."""
-    from sonoloom.functions.hashing import hash_int
-
     sizes = df.groupBy(dataset).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy().orderBy(dataset).rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.partitionBy().orderBy(F.col(dataset).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(dataset, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))  # a row per dataset
     local = rank_by_hash(df.select(key, dataset), hash_int("row", F.col(key)), [key], "local", (dataset,))
-    return local.join(before, dataset).select(key, dataset, (F.col("local") - 1).alias("local"), (F.col("_before") + F.col("local") - 1).alias("global_row"))
+    return null_safe_join(local, before, [dataset]).select(key, dataset, (F.col("local") - 1).alias("local"), (F.col("_before") + F.col("local") - 1).alias("global_row"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sonoloom.functions.hashing import hash_int, hash_unit
-from sonoloom.functions.ranks import rank_by_hash
+from sonoloom.functions.ranks import null_safe_join, rank_by_hash
 
 
 MAX_WEIGHTS = 100_000
@@ -17,7 +17,7 @@ def stratified(df: DataFrame, strata: list[str], k: int, seed: str, key: str) ->
     sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("stratum_size"))
     ranked = rank_by_hash(df, hash_int(seed, F.col(key)), [key], "draw", tuple(strata)).where(F.col("draw") <= k)
     p = F.least(F.lit(1.0), F.lit(float(k)) / F.col("stratum_size"))
-    return ranked.join(sizes, strata).withColumn("inclusion", p)
+    return null_safe_join(ranked, sizes, strata).withColumn("inclusion", p)
 
 
 def two_stage(df: DataFrame, cluster: str, key: str, n_clusters: int, per_cluster: int, seed: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sonoloom.functions.hashing import hash_int, hash_int_sql, hash_unit_sql
+from sonoloom.functions.ranks import rank_by_hash
 from sonoloom.operators import arrays as A
 from sonoloom.operators import clauses as K
 from sonoloom.operators.textops import CLAUSE_END, clauses, numbers
@@ -229,8 +230,6 @@ def length_batches(t):
 @R.add(f"""with r as (select review_id, concept, row_number() over (order by {hash_int_sql('targets', 'review_id')}, review_id) as k from column_review), b as (select review_id, concept, (k - 1) // 32 as batch from r),
 n as (select batch, concept, count(*) as n from b group by all) select a.batch, a.review_id as a, c.review_id as b, 1.0 / n.n as target from b a join b c on a.batch = c.batch and a.concept = c.concept join n on n.batch = a.batch and n.concept = a.concept""")
 def target_matrix(t):
-    from sonoloom.functions.ranks import rank_by_hash
-
     r = rank_by_hash(t.column_review.select("review_id", "concept"), hash_int("targets", F.col("review_id")), ["review_id"], "k")
     b = r.select("review_id", "concept", F.floor((F.col("k") - 1) / 32).cast("long").alias("batch"))
     return A.equal_targets(b, ["batch"], "review_id", "concept")
@@ -245,7 +244,7 @@ def slot_augmentation(t):
 
 
 @R.add(f"""with l as (select row_id, site, row_number() over (partition by site order by {hash_int_sql('row', 'row_id')}, row_id) - 1 as local from build_manifests), s as (select site, count(*) as n from build_manifests group by 1),
-b as (select site, coalesce(sum(n) over (order by site rows between unbounded preceding and 1 preceding), 0)::bigint as before from s) select row_id, site, local, before + local as global_row from l join b using (site)""")
+b as (select site, coalesce(sum(n) over (order by site nulls last rows between unbounded preceding and 1 preceding), 0)::bigint as before from s) select row_id, l.site, local, before + local as global_row from l join b on l.site is not distinct from b.site""")
 def global_row_map(t):
     return A.row_map(t.build_manifests, "site", "row_id")
 
@@ -253,8 +252,6 @@ def global_row_map(t):
 @R.add(f"""with f as (select row_id, unnest(['short', 'slow', 'low']) as signal, unnest([n_frames < 20, fps < 20, label < 40]) as hit from build_manifests),
 r as (select row_id, signal, row_number() over (partition by signal order by {hash_int_sql('signal', 'signal', 'row_id')}, row_id) as k from f where hit) select row_id, string_agg(signal, '+' order by signal) as signals from r where k <= 40 group by 1""")
 def signal_samples(t):
-    from sonoloom.functions.ranks import rank_by_hash
-
     f = t.build_manifests.select("row_id", F.explode(F.create_map(F.lit("short"), F.col("n_frames") < 20, F.lit("slow"), F.col("fps") < 20, F.lit("low"), F.col("label") < 40)).alias("signal", "hit")).where("hit")
     r = rank_by_hash(f, hash_int("signal", F.col("signal"), F.col("row_id")), ["row_id"], "k", ("signal",))
     return r.where("k <= 40").groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_list("signal")), "+").alias("signals"))

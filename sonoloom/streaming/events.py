@@ -101,3 +101,10 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str = "ap
 
     q = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def shard_stream(spark: SparkSession, path: str, schema: str, world: int = 1, rank: int = 0, files_per_batch: int = 8) -> DataFrame:
+    """Rows of a folder of Parquet shards as they arrive, those of this node only (a hash of the shard's name), with the shard's name; broken files are skipped."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("ignoreCorruptFiles", True).option("recursiveFileLookup", True).parquet(path)
+    named = rows.withColumn("shard", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    return named if world == 1 else named.where(F.pmod(F.xxhash64("shard"), F.lit(world)) == rank)

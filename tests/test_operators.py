@@ -200,3 +200,14 @@ def test_running_sums_over_many_buckets(spark, monkeypatch):
         total += v
         want[i] = total
     assert got == want
+
+
+def test_rank_by_hash_keeps_null_groups(spark):
+    from sonoloom.functions import ranks
+    from sonoloom.functions.hashing import hash_int
+
+    df = spark.createDataFrame([(i, None if i % 3 == 0 else "ab"[i % 2]) for i in range(90)], "i int, g string")
+    got = {}
+    for r in ranks.rank_by_hash(df, hash_int("s", F.col("i")), ["i"], "k", ("g",)).collect():
+        got.setdefault(r.g, []).append(r.k)
+    assert {g: sorted(k) for g, k in got.items()} == {g: list(range(1, 31)) for g in (None, "a", "b")}
