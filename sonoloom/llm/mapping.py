@@ -260,6 +260,19 @@ def map_values(values: DataFrame, names: list[tuple[str, str]], value: str = "va
     return values.withColumn("_m", got).withColumn("concept_id", F.col("_m.concept_id")).withColumn("distance", F.col("_m.distance")).drop("_m")
 
 
+def value_candidates(values: DataFrame, names: list[tuple[str, str]], value: str = "value") -> DataFrame:
+    """value, concept_id, distance: every entry within the length-dependent distance of a distinct value or one of its readings, also where several are as near."""
+    held = values.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mapper = Mapper(held.value)
+        for pdf in batches:
+            yield frame([(v, c, d) for v in pdf["value"] for c, d in sorted(mapper.candidates(v).items())], ["value", "concept_id", "distance"])
+
+    distinct = values.where(F.col(value).isNotNull()).select(F.col(value).cast("string").alias("value")).distinct()
+    return distinct.mapInPandas(run, "value string, concept_id string, distance int")
+
+
 def typed_values(mappings: DataFrame, row_id: str = "mapping_id") -> DataFrame:
     """One row per typed value: (mapping_id, field, item_no, value).
 

@@ -35,15 +35,24 @@ LOOSE = 0.02
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str):
-    """Byte-level BPE from a file of ranks."""
+def encoder_of(vocabulary: bytes):
+    """Byte-level BPE from the text of a file of ranks."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def read_vocabulary(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def encoder(path: str):
+    """Byte-level BPE from a file of ranks."""
+    return encoder_of(read_vocabulary(path))
+
+
 @lru_cache(maxsize=2)
 def projection(n: int) -> np.ndarray:
     """One vector of +-1 per token number, from a hash of the number."""
@@ -84,9 +93,9 @@ def hilbert_key(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def _sizes(path: str):
+def _sizes(held):
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(path)
+        enc = encoder_of(held.value)
         vectors = projection(enc.n_vocab)
         for pdf in batches:
             lengths, points = [], np.zeros((len(pdf), DIMENSIONS))
@@ -103,9 +112,14 @@ def _sizes(path: str):
 
 
 def document_sizes(docs: DataFrame, tokenizer: str = TOKENIZER, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, curve (Hilbert key) of every document; null and empty texts have 0 tokens."""
+    """doc_id, n_tokens, curve (Hilbert key) of every document; null and empty texts have 0 tokens.
+
+    The vocabulary is read on the driver and sent along (its size is that of the file), so
+    executors need no copy of it.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(read_vocabulary(tokenizer))
     rows = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text")), "id")
-    return rows.mapInPandas(_sizes(tokenizer), "doc_id long, n_tokens long, curve long")
+    return rows.mapInPandas(_sizes(held), "doc_id long, n_tokens long, curve long")
 
 
 class Bins:

@@ -89,6 +89,12 @@ def p5_unmatched(spark: SparkSession, root: str) -> DataFrame:
     return mapping.unmatched_report(_mapped(spark, root))
 
 
+def p5_candidates(spark: SparkSession, root: str) -> DataFrame:
+    """All entries near each distinct typed value, with their distance."""
+    names = mapping.entry_names(table(spark, root, "ontology"), "concept_id", ["label_en", "label_fr"], ["aliases"])
+    return mapping.value_candidates(mapping.typed_values(table(spark, root, "label_mappings", ["mapping_id", "label", "concepts"])), names)
+
+
 def p6_pack(spark: SparkSession, root: str) -> DataFrame:
     return packing.pack_documents(table(spark, root, "documents", ["doc_id", "text"]))
 
@@ -127,7 +133,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_redacted": p2_redacted,
     "p3_found": p3_found, "p3_overlap_report": p3_overlap_report, 
     "p4_found": p4_found, "p4_assignment": p4_assignment, "p4_shares": p4_shares, "p4_components": p4_components, "p4_incremental": p4_incremental, "p4_broken_ties": p4_broken_ties,
-    "p5_found": p5_found, "p5_unmatched": p5_unmatched,
+    "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p5_candidates": p5_candidates,
     "p6_pack": p6_pack, "p6_utilisation": p6_utilisation,
     "p7_found": p7_found, "p7_leaks_per_item": p7_leaks_per_item,
     "p8_found": p8_found, "p8_consistent_text": p8_consistent_text, "p8_classes": p8_classes,

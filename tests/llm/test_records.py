@@ -53,6 +53,12 @@ def test_mapping(spark):
     assert report["tbd"] == 2
 
 
+def test_all_candidates(spark):
+    values = spark.createDataFrame([("zeft thing",), ("zeft thing",), (None,), ("left thing",), ("none at all",)], "value string")
+    got = {tuple(r) for r in mapping.value_candidates(values, [("a", "left thing"), ("b", "heft thing")]).collect()}
+    assert got == {("zeft thing", "a", 1), ("zeft thing", "b", 1), ("left thing", "a", 0), ("left thing", "b", 1)}
+
+
 def test_ties_have_no_match():
     m = mapping.Mapper([("a", "left thing"), ("b", "heft thing")])
     assert m.best("zeft thing") == ("unmatched", -1) and m.candidates("zeft thing") == {"a": 1, "b": 1}
