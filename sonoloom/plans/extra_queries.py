@@ -13,16 +13,6 @@ from sonoloom.plans.text_queries import _NEAR, _nearest
 
 R = Registry()
 
-_EF = r"(?:Ejection fraction|Fraction d.éjection) ([0-9]+(?:[.,][0-9]+)?)(?: ?(?:-|to|à) ?([0-9]+(?:[.,][0-9]+)?))? ?%"
-
-
-@R.add(f"""with x as (select doc_id, unnest(regexp_extract_all(text, '{_EF}', 1)) as lo from documents)
-select doc_id, count(*) as n, round(min(replace(lo, ',', '.')::double), 3) as least, round(max(replace(lo, ',', '.')::double), 3) as most, bool_and(replace(lo, ',', '.')::double >= 50) as all_normal from x group by 1""")
-def interval_extract(t):
-    lo = F.explode(F.regexp_extract_all("text", F.lit(_EF), F.lit(1))).alias("lo")
-    x = t.documents.select("doc_id", lo).withColumn("v", F.replace("lo", F.lit(","), F.lit(".")).cast("double"))
-    return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("v"), 3).alias("least"), F.round(F.max("v"), 3).alias("most"), F.bool_and(F.col("v") >= 50).alias("all_normal"))
-
 
 @R.add(f"""with {_NEAR}, h as (select r.query_id, q.label, max((r.label = q.label)::int) as hit from r join u q on q.vec_id = r.query_id where place <= 5 group by 1, 2)
 select label, count(*) as n, round(avg(hit), 6) as recall_at_5 from h group by 1""")
