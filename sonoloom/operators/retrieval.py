@@ -37,12 +37,14 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1024) ->
             import numpy as np
             import pandas as pd
 
+            if not held.value:
+                return
             ids = np.array([q for q, _ in held.value], dtype=np.int64)
             matrix = np.array([v for _, v in held.value], dtype=np.float64).reshape(len(ids), -1)
             best: list[list[tuple[float, int]]] = [[] for _ in ids]
             for pdf in batches:
                 pdf = pdf[pdf["v"].notna()]
-                if not len(pdf) or not len(ids):
+                if not len(pdf):
                     continue
                 vec = pdf["vec_id"].to_numpy()
                 sim = np.round(matrix @ np.stack(pdf["v"].to_numpy()).astype(np.float64).T, 9)
