@@ -134,7 +134,7 @@ def record_overlaps(members: DataFrame, overlaps: DataFrame) -> DataFrame:
     """kind, id_t, id_e: one train and one evaluation record with an overlapping field; members of hot fields are spread over salts."""
     cls = F.concat_ws("\n", "kind", "fid").alias("cls")
     classes = overlaps.select(F.concat_ws("\n", "kind", "fid_t").alias("a"), F.concat_ws("\n", "kind", "fid_e").alias("b"))
-    live = members.select(cls, "eval_side", "kind", "id").join(classes.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi")
+    live = write_scratch(members.select(cls, "eval_side", "kind", "id").join(classes.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"), "live")
     got = expand_members(classes, live.where("not eval_side").select("cls", F.struct("kind", "id").alias("id")), live.where("eval_side").select("cls", "id"))
     return got.select("id_a.kind", F.col("id_a.id").alias("id_t"), F.col("id_b").alias("id_e")).distinct()
 
@@ -228,7 +228,7 @@ def near_print_pairs(prints: DataFrame, most: int = MAX_FLIPPED, cut=None) -> Da
     met = salted_join(train, held, "block", hot_keys(train, "block"), F.col("a"))
     flipped = F.bit_count(F.col("hi_a").bitwiseXOR(F.col("hi_b"))) + F.bit_count(F.col("lo_a").bitwiseXOR(F.col("lo_b")))
     classes = write_scratch(met.where(flipped <= most).select("a", "b").distinct(), "near")
-    rows = prints.select(F.col("print").alias("cls"), "id", "eval_side").join(classes.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi")
+    rows = write_scratch(prints.select(F.col("print").alias("cls"), "id", "eval_side").join(classes.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi"), "near-rows")
     pairs = expand_members(classes, rows.where("not eval_side").select("cls", "id"), rows.where("eval_side").select("cls", "id"))
     return pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).where("id_a < id_b")
 
