@@ -334,3 +334,27 @@ def test_ranges_follow_from_the_rows(spark, monkeypatch):
     assert max(sizes.values()) <= 100 and len(sizes) >= 8
     order = sorted((s, c) for (i, c) in rows for s in [got[i][1]] if i % 3)
     assert [c >> 15 for _, c in order] == sorted(c >> 15 for _, c in order)
+
+
+def test_three_batches_leave_no_study_or_patient_in_two_splits(spark, tmp_path):
+    rng = random.Random(31)
+    rows = [(i, f"{rng.randrange(1, 60)}" if rng.random() < 0.8 else None, f"s{rng.randrange(90)}" if rng.random() < 0.7 else None, i % 3) for i in range(240)]
+    df = spark.createDataFrame(rows, "row_id long, patient_id string, study_id string, n int")
+    out = grouped_split.incremental_splits(df, F.col("n"), 3, str(tmp_path / "components")).collect()
+    split = {r.row_id: r.split for r in out}
+    assert sorted(split) == list(range(240)) and len(out) == 240
+    for k in (1, 2):
+        per = {}
+        for r in rows:
+            if r[k]:
+                per.setdefault(r[k], set()).add(split[r[0]])
+        assert all(len(s) == 1 for s in per.values())
+    sizes = {r.component: (r.n_patients, r.n_links) for r in grouped_split.component_sizes(grouped_split.normalised_rows(df)).collect()}
+    pairs = {(r[1], r[2]) for r in rows if r[1] and r[2]}
+    comp = brute_components([(f"p{p}", f"s{s}") for p, s in pairs])
+    want = {}
+    for p, s in pairs:
+        g = want.setdefault(comp[f"p{p}"], (set(), set()))
+        g[0].add(p)
+        g[1].add((p, s))
+    assert sorted(sizes.values()) == sorted((len(a), len(b)) for a, b in want.values() if len(a) > 1)
